@@ -15,7 +15,7 @@ def owner_workload(kind: Column, name: Column, pod: Column) -> tuple[Column, Col
     from_replicaset = (kind == "ReplicaSet") & name.isNotNull()
     out_kind = F.when(from_replicaset, F.lit("Deployment")).otherwise(F.coalesce(kind, F.lit("Pod")))
     out_name = F.when(from_replicaset, F.regexp_replace(name, REPLICASET_SUFFIX, "")).otherwise(name)
-    return out_kind, F.coalesce(out_name, pod)
+    return out_kind, F.coalesce(out_name, pod.cast("string"))
 
 
 def _base(name: Column, *patterns: str) -> Column:
