@@ -14,8 +14,11 @@ MEMORY_SUFFIX_MIB = {
     "g": 1024, "gi": 1024,
     "t": 1024 * 1024, "ti": 1024 * 1024,
 }
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_MEMORY = r"^(.*?)([kmgt]i?)$"
+_DECIMAL = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+_NUMBER = rf"^\s*{_DECIMAL}\s*$"
+_CPU = rf"^({_DECIMAL})\s*(m?)$"
+_MEMORY = rf"^({_DECIMAL})\s*([kmgt]i?)?$"
+_MEMORY_SUFFIX = r"[kmgt]i?$"
 _STEP_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
@@ -33,11 +36,15 @@ def _clean(quantity: Column) -> Column:
     return F.lower(F.trim(quantity.cast("string")))
 
 
+def _matched(text: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract(text, pattern, group)
+
+
 def cpu_millicores(quantity: Column) -> Column:
+    """Whole millicores of a processor quantity: ``100m``, or cores such as ``0.5``."""
     q = _clean(quantity)
-    milli = to_double(F.substring(q, F.lit(1), F.length(q) - 1)).try_cast("bigint")
-    cores = (to_double(q) * 1000).try_cast("bigint")
-    return F.when(q.endswith("m"), milli).otherwise(cores)
+    unit = F.when(_matched(q, _CPU, 2) == "m", F.lit(1.0)).otherwise(F.lit(1000.0))
+    return (_matched(q, _CPU, 1).try_cast("double") * unit).try_cast("bigint")
 
 
 def cpu_malformed(quantity: Column) -> Column:
@@ -45,14 +52,11 @@ def cpu_malformed(quantity: Column) -> Column:
 
 
 def memory_mib(quantity: Column) -> Column:
+    """Whole MiB of a memory quantity; without a suffix it counts bytes."""
     q = _clean(quantity)
-    suffix = F.regexp_extract(q, _MEMORY, 2)
-    amount = to_double(F.regexp_extract(q, _MEMORY, 1))
-    factor = F.lit(None).cast("double")
-    for name, mib in MEMORY_SUFFIX_MIB.items():
-        factor = F.when(suffix == name, F.lit(float(mib))).otherwise(factor)
-    scaled = (amount * factor).try_cast("bigint")
-    return F.when(suffix == "", (to_double(q) / (1024 * 1024)).try_cast("bigint")).otherwise(scaled)
+    factors = {**MEMORY_SUFFIX_MIB, "": 1 / (1024 * 1024)}
+    table = F.create_map(*[F.lit(x) for suffix, mib in factors.items() for x in (suffix, float(mib))])
+    return (_matched(q, _MEMORY, 1).try_cast("double") * table[_matched(q, _MEMORY, 2)]).try_cast("bigint")
 
 
 def memory_malformed(quantity: Column) -> Column:
@@ -60,9 +64,7 @@ def memory_malformed(quantity: Column) -> Column:
 
     A bare word or an unknown suffix is a plain null, not an error.
     """
-    q = _clean(quantity)
-    known = F.regexp_extract(q, _MEMORY, 2) != ""
-    return known & to_double(F.regexp_extract(q, _MEMORY, 1)).isNull()
+    return _clean(quantity).rlike(_MEMORY_SUFFIX) & memory_mib(quantity).isNull()
 
 
 def step_seconds(step: str | int | float) -> int:

@@ -114,21 +114,17 @@ _SHORT_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t
 
 def _escape_char(c: Column) -> Column:
     utf16 = F.lower(F.hex(F.encode(c, "UTF-16BE")))
-    escaped = F.concat(
-        F.lit("\\u"),
-        F.substring(utf16, 1, 4),
-        F.when(F.length(utf16) > 4, F.concat(F.lit("\\u"), F.substring(utf16, 5, 4))).otherwise(""),
-    )
-    out = F.when(c.rlike(r"^[ -~]$"), c).otherwise(escaped)
-    for char, short in _SHORT_ESCAPES.items():
-        out = F.when(c == char, F.lit(short)).otherwise(out)
-    return F.when(c == "", c).otherwise(out)
+    # one code unit, or a pair of them; an empty piece stays empty
+    escaped = F.regexp_replace(utf16, "(.{4})", r"\\u$1")
+    short = F.create_map(*[F.lit(x) for pair in _SHORT_ESCAPES.items() for x in pair])
+    return F.coalesce(short[c], F.when(c.rlike("^[ -~]$"), c).otherwise(escaped))
 
 
 def json_string(s: Column) -> Column:
     """JSON text of a string; only strings that need escapes are taken apart."""
-    plain = ~s.rlike(r'[^ -~]|["\\]')
-    body = F.when(plain, s).otherwise(F.array_join(F.transform(F.split(s, ""), _escape_char), ""))
+    body = F.when(
+        s.rlike(r'[^ -~]|["\\]'), F.array_join(F.transform(F.split(s, ""), _escape_char), "")
+    ).otherwise(s)
     return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
 
 
@@ -140,24 +136,32 @@ def _json_array(items: Column) -> Column:
     return F.coalesce(F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")), F.lit("null"))
 
 
+def _json_strings(items: Column) -> Column:
+    return _json_array(F.transform(items, json_string))
+
+
 def _json_object(fields: dict[str, Column]) -> Column:
-    parts = [F.concat(F.lit(f'"{name}": '), fields[name]) for name in sorted(fields)]
-    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    parts = [x for name in sorted(fields) for x in (F.lit(f', "{name}": '), fields[name])]
+    parts[0] = F.lit(f'{{"{min(fields)}": ')
+    return F.concat(*parts, F.lit("}"))
+
+
+def _json_texts(texts: dict[str, Column]) -> dict[str, Column]:
+    """Several strings escaped by one lambda, which keeps the plan small."""
+    escaped = F.transform(F.array(*texts.values()), json_string)
+    return {name: escaped[i] for i, name in enumerate(texts)}
 
 
 def _json_map(m: Column) -> Column:
     entries = F.transform(
-        _sorted_entries(m), lambda e: F.concat(json_string(e["key"]), F.lit(": "), json_string(e["value"]))
+        _sorted_entries(m),
+        lambda e: F.array_join(F.transform(F.array(e["key"], e["value"]), json_string), ": "),
     )
     return F.coalesce(F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")), F.lit("null"))
 
 
-def _json_strings(items: Column) -> Column:
-    return _json_array(F.transform(items, json_string))
-
-
 def _json_container(c: Column) -> Column:
-    fields = {name: json_string(c[name]) for name in ("name", "image")}
+    fields = _json_texts({name: c[name] for name in ("name", "image")})
     fields |= {name: _json_strings(c[name]) for name in ("command", "args")}
     fields |= {name: _json_number(c[name]) for name in RESOURCES}
     return _json_object(fields)
@@ -171,7 +175,7 @@ def canonical_json(request: Column | None = None) -> Column:
 
     texts = ("schema_version", "namespace", "workload_kind", "workload_name", "node_type", "runtime_class")
     numbers = ("init_container_count", "sidecar_count", "gpu_count", "parallelism", "completions")
-    fields = {name: json_string(field(name)) for name in texts}
+    fields = _json_texts({name: field(name) for name in texts})
     fields |= {name: _json_number(field(name)) for name in numbers}
     fields |= {name: _json_map(field(name)) for name in ("labels", "annotations")}
     fields["containers"] = _json_array(F.transform(field("containers"), _json_container))

@@ -69,39 +69,47 @@ def allow(df: DataFrame, column: str, values: Sequence[str] | None) -> DataFrame
     return df.filter(F.col(column).isin(*values)) if values else df
 
 
-def _quantity(resources: Column, side: str, name: str) -> Column:
+# The quantities read from a container, as (request field, side, resource).
+_QUANTITIES = (
+    ("req_cpu_mcpu", "requests", "cpu"),
+    ("req_mem_mib", "requests", "memory"),
+    ("lim_cpu_mcpu", "limits", "cpu"),
+    ("lim_mem_mib", "limits", "memory"),
+)
+
+
+def _quantity(value: Column) -> Column:
     """A quantity as text; an unquoted 0 or false means "not set", unlike the text "0"."""
-    value = resources[side][name]
-    kind = F.schema_of_variant(value)
     text = F.try_variant_get(value, "$", "string")
-    unset = ((kind != "STRING") & (q.to_double(text) == 0)) | ((kind == "BOOLEAN") & (text == "false"))
+    unset = (F.schema_of_variant(value) != "STRING") & text.rlike(r"^(-?0(\.0*)?([eE].*)?|false)$")
     return F.when(~F.coalesce(unset, F.lit(False)), text)
 
 
-def _container(c: Column) -> Column:
-    res = c["resources"]
+def _with_texts(c: Column) -> Column:
+    """A container with its quantities as text, read out of the variants once."""
     return F.struct(
         F.coalesce(c["name"], F.lit("")).alias("name"),
         F.coalesce(c["image"], F.lit("")).alias("image"),
         c["command"].alias("command"),
         c["args"].alias("args"),
-        q.cpu_millicores(_quantity(res, "requests", "cpu")).alias("req_cpu_mcpu"),
-        q.memory_mib(_quantity(res, "requests", "memory")).alias("req_mem_mib"),
-        q.cpu_millicores(_quantity(res, "limits", "cpu")).alias("lim_cpu_mcpu"),
-        q.memory_mib(_quantity(res, "limits", "memory")).alias("lim_mem_mib"),
+        *[_quantity(c["resources"][side][name]).alias(field) for field, side, name in _QUANTITIES],
+    )
+
+
+def _container(c: Column) -> Column:
+    parse = {"cpu": q.cpu_millicores, "memory": q.memory_mib}
+    return F.struct(
+        *[c[name].alias(name) for name in ("name", "image", "command", "args")],
+        *[parse[name](c[field]).alias(field) for field, _, name in _QUANTITIES],
     )
 
 
 def _bad_quantity(c: Column) -> Column:
-    res = c["resources"]
-    bad = F.lit(False)
-    for side in ("requests", "limits"):
-        bad = (
-            bad
-            | F.coalesce(q.cpu_malformed(_quantity(res, side, "cpu")), F.lit(False))
-            | F.coalesce(q.memory_malformed(_quantity(res, side, "memory")), F.lit(False))
-        )
-    return bad
+    check = {"cpu": q.cpu_malformed, "memory": q.memory_malformed}
+    first, *rest = [F.coalesce(check[name](c[field]), F.lit(False)) for field, _, name in _QUANTITIES]
+    for one in rest:
+        first = first | one
+    return first
 
 
 def _limits_text(c: Column) -> Column:
@@ -110,21 +118,20 @@ def _limits_text(c: Column) -> Column:
     )
 
 
-def pod_fields(metadata: Column, spec: Column) -> dict[str, Column]:
+def pod_fields(metadata: Column, spec: Column, texts: Column) -> dict[str, Column]:
     """The request columns that come from a pod template or a pod."""
     empty_map = F.create_map().cast("map<string,string>")
-    containers = F.coalesce(spec["containers"], F.array().cast(f"array<{_CONTAINER}>"))
     inits = either(spec, "initContainers", "init_containers")
     return {
         "labels": F.coalesce(metadata["labels"], empty_map),
         "annotations": F.coalesce(metadata["annotations"], empty_map),
-        "containers": F.transform(containers, _container),
+        "containers": F.transform(texts, _container),
         "init_container_count": F.when(inits.isNull(), F.lit(0)).otherwise(F.size(inits)),
         "sidecar_count": F.lit(0),
         "volume_types": specs.volume_types(spec["volumes"]),
         "node_type": specs.node_type(either(spec, "nodeSelector", "node_selector")),
         "runtime_class": either(spec, "runtimeClassName", "runtime_class_name"),
-        "gpu_count": specs.gpu_count(F.transform(containers, _limits_text)),
+        "gpu_count": specs.gpu_count(F.transform(spec["containers"], _limits_text)),
     }
 
 
@@ -144,11 +151,14 @@ def _requests(
     )
     step = df.withColumns({"__kind": kind, "__t": F.when(is_pod, as_template).otherwise(template)})
     kind, t = F.col("__kind"), F.col("__t")
+    listed = F.coalesce(t["spec"]["containers"], F.array().cast(f"array<{_CONTAINER}>"))
+    step = step.withColumn("__texts", F.transform(listed, _with_texts))
+    texts = F.col("__texts")
     is_pod = (kind == "Pod") if allow_pods else F.lit(False)
     owner = first_owner(o_meta)
     name = F.coalesce(o_meta["name"], F.lit(DEFAULT_NAME))
     kinds = WATCH_KINDS if allow_pods else TEMPLATE_KINDS
-    bad = F.exists(t["spec"]["containers"], _bad_quantity)
+    bad = F.exists(texts, _bad_quantity)
     reason = (
         F.when(F.col("o").isNull(), F.lit("not an object"))
         .when(kind.isNull() | ~kind.isin(*kinds), F.concat(F.lit("unsupported kind: "), F.coalesce(kind, F.lit(""))))
@@ -163,7 +173,7 @@ def _requests(
         "namespace": F.coalesce(o_meta["namespace"], F.lit(DEFAULT_NAMESPACE)),
         "workload_kind": F.when(is_pod, F.coalesce(F.nullif(owner["kind"], F.lit("")), F.lit("Pod"))).otherwise(kind),
         "workload_name": F.when(is_pod, F.coalesce(F.nullif(owner["name"], F.lit("")), name)).otherwise(name),
-        **pod_fields(t["metadata"], t["spec"]),
+        **pod_fields(t["metadata"], t["spec"], texts),
         "parallelism": F.when(is_job, o_spec["parallelism"]),
         "completions": F.when(is_job, o_spec["completions"]),
     }

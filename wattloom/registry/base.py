@@ -53,9 +53,9 @@ bounds AS (SELECT floor(min(t)/3600)*3600 AS lo, ceil(max(t)/3600)*3600 AS hi FR
 def grid_sql(source: str, series: str, step: int, lookback: int) -> str:
     """Latest sample per series and grid point, written as: each sample at all points it can serve."""
     return f"""
-  SELECT {series}, lo + n*{step} AS ts, value FROM (
+  SELECT {series}, lo + at_step*{step} AS ts, value FROM (
     SELECT {series}, t, event_id, value, lo, unnest(generate_series(
       greatest(0, ceil((t-lo)/{step}))::BIGINT,
-      least(floor((hi-lo)/{step}), ceil((t+{lookback}-lo)/{step})-1)::BIGINT)) AS n
+      least(floor((hi-lo)/{step}), ceil((t+{lookback}-lo)/{step})-1)::BIGINT)) AS at_step
     FROM {source}, bounds)
-  QUALIFY row_number() OVER (PARTITION BY {series}, n ORDER BY t DESC, event_id DESC) = 1"""
+  QUALIFY row_number() OVER (PARTITION BY {series}, at_step ORDER BY t DESC, event_id DESC) = 1"""

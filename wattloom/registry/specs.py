@@ -366,14 +366,15 @@ def first_document(spark, sf):
 
 @query(
     "first_manifest",
-    f"""WITH {REQUESTS_SQL} SELECT {COLUMNS_SQL} FROM r""",
+    f"""WITH {REQUESTS_SQL}, f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY namespace ORDER BY p_partkey) = 1)
+SELECT {COLUMNS_SQL} FROM f""",
 )
 def first_manifest(spark, sf):
-    """Every manifest followed by a second document in a file of its own: only the first is read."""
-    path = scratch_path(spark, "first")
-    text = F.concat(F.lit("---\n- not an object\n---\n"), F.col("object"), F.lit("\n---\nkind: Deployment\n"))
-    manifests(spark, sf).select(text.alias("value"), F.col("p_partkey").alias("k")).write.partitionBy("k").text(path)
-    return _columns(accepted(requests_of_documents(read_documents(spark, path), first_only=True)))
+    """Manifests as the documents of one file per brand: only the first of each file is read."""
+    text = F.concat(F.lit("# part\n"), F.col("object"))
+    docs = manifests(spark, sf).join(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey")
+    docs = docs.select(F.col("p_brand").alias("file"), F.lit(0).cast("bigint").alias("at"), F.col("p_partkey").alias("n"), text.alias("text"))
+    return _columns(accepted(requests_of_documents(docs, first_only=True)))
 
 
 @query(
