@@ -75,11 +75,9 @@ def snapshot_then_stream(spark, sf):
     changes = _changes(spark, sf)
     middle = F.lit("2024-01-16").cast("timestamp")
     spaces = [f"ns-{i}" for i in range(10) if i != 3]
-    stream = stream_changes(spark, f"{path}/in")
-    fresh = fresh_events(stream, ("Deployment", "Job"), spaces, ttl=SIX_HOURS)
-    early = changes.filter(F.col("ts") < middle)
-    deleted = early.filter(F.col("type") == "DELETED")
-    _write_changes(as_events(early.exceptAll(deleted), F.col("ts")), f"{path}/in/1-snapshot")
+    early = changes.filter((F.col("ts") < middle) & (F.col("type") != "DELETED"))
+    _write_changes(as_events(early, F.col("ts")), f"{path}/in/1-snapshot")
+    fresh = fresh_events(stream_changes(spark, f"{path}/in"), ("Deployment", "Job"), spaces, ttl=SIX_HOURS)
     _drain(fresh, f"{path}/out", f"{path}/checkpoint")
     _write_changes(changes.filter(F.col("ts") >= middle), f"{path}/in/2-changes")
     _drain(fresh, f"{path}/out", f"{path}/checkpoint")

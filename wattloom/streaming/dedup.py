@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -30,31 +31,43 @@ class RepeatFilter(StatefulProcessor):
         self.last = handle.getValueState("last", "seconds double")
 
     def handleInputRows(self, key, rows, timerValues):
-        cells: dict = {}
+        cells: dict = {}  # cell -> (order of its first row, batch, position, last time)
         for batch in rows:
-            batch = batch.sort_values(self.order, kind="stable")
-            cell = (batch[SECONDS] // self.ttl).to_numpy()
-            for number, part in batch.groupby(cell, sort=False):
-                head, high = part.iloc[[0]], part[SECONDS].iloc[-1]
-                if number in cells:
-                    known, known_high = cells[number]
-                    both = pd.concat([known, head]).sort_values(self.order, kind="stable")
-                    head, high = both.iloc[[0]], max(high, known_high)
-                cells[number] = head, high
-        last = self.last.get()[0] if self.last.exists() else None
-        kept = []
+            batch.columns = [*self.columns, SECONDS]  # computed columns arrive unnamed
+            by = [batch[c].to_numpy() for c in self.order]
+            place = np.lexsort(by[::-1])
+            seconds = by[0][place]
+            number = seconds // self.ttl
+            starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+            ends = np.r_[starts[1:], len(place)] - 1
+            for start, end in zip(starts, ends):
+                at = place[start]
+                rank, high = tuple(c[at] for c in by), seconds[end]
+                known = cells.get(number[start])
+                if known and known[0] <= rank:
+                    rank, batch_of, at = known[:3]
+                else:
+                    batch_of = batch
+                cells[number[start]] = rank, batch_of, at, max(high, known[3]) if known else high
+        state = self.last.get()
+        before = None if state is None else state[0]
+        last, kept = before, []
         for number in sorted(cells):
-            head, high = cells[number]
-            if last is None or head[SECONDS].iloc[0] - last > self.ttl:
-                kept.append(head)
+            rank, batch, at, high = cells[number]
+            if last is None or rank[0] - last > self.ttl:
+                kept.append(batch.iloc[[at]])
             last = high if last is None else max(last, high)
-        self.last.update((float(last),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((last + self.ttl) * 1000) + 1)
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(self._expiry(before))
+            self.last.update((float(last),))
+            self.handle.registerTimer(self._expiry(last))
         if kept:
             yield pd.concat(kept)[self.columns]
 
+    def _expiry(self, last: float) -> int:
+        return int((last + self.ttl) * 1000) + 1
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.last.clear()  # no row that may still arrive is within ttl of the last sighting
         return iter(())
