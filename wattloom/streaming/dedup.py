@@ -3,77 +3,80 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from wattloom.functions.quantities import timestamp_seconds
 from wattloom.operators.dedup import TTL_SECONDS
 
-SECONDS = "__seconds"
+BUCKETS = 256
+HELPERS = ("__seconds", "__h1", "__h2")
+BUCKET = "__bucket"
 
 
-class RepeatFilter(StatefulProcessor):
-    """Per key: the time of the last sighting.  A row passes when that is more than ttl ago.
+def _first_of_cells(batch: pd.DataFrame, tie_break: Sequence[str], ttl: float) -> pd.DataFrame:
+    """The first row of each key and ttl-wide cell of time, with the cell's last time ``__high``."""
+    seconds, h1, h2 = (batch[c].to_numpy() for c in HELPERS)
+    high = batch["__high"].to_numpy() if "__high" in batch.columns else seconds
+    ties = [batch[c].to_numpy() for c in tie_break]
+    place = np.lexsort((*ties[::-1], seconds, h2, h1))
+    h1, h2, cell, high = h1[place], h2[place], (seconds // ttl)[place], high[place]
+    new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (cell[1:] != cell[:-1])]
+    starts = np.flatnonzero(new)
+    return batch.iloc[place[starts]].assign(__high=np.maximum.reduceat(high, starts))
 
-    The rows of a key arrive in batches and each batch is cut down at once to the first row
-    and last time of every ttl-wide cell, so memory follows the cells a micro-batch spans and
-    not a key's row count.  A row older than the last sighting is a repeat and moves nothing.
-    """
 
-    def __init__(self, ttl: float, tie_break: Sequence[str], columns: Sequence[str]):
-        self.ttl, self.order, self.columns = ttl, [SECONDS, *tie_break], list(columns)
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "seconds double")
-
-    def handleInputRows(self, key, rows, timerValues):
-        cells: dict = {}  # cell -> (order of its first row, batch, position, last time)
-        for batch in rows:
-            batch.columns = [*self.columns, SECONDS]  # computed columns arrive unnamed
-            by = [batch[c].to_numpy() for c in self.order]
-            place = np.lexsort(by[::-1])
-            seconds = by[0][place]
-            number = seconds // self.ttl
-            starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-            ends = np.r_[starts[1:], len(place)] - 1
-            for start, end in zip(starts, ends):
-                at = place[start]
-                rank, high = tuple(c[at] for c in by), seconds[end]
-                known = cells.get(number[start])
-                if known and known[0] <= rank:
-                    rank, batch_of, at = known[:3]
-                else:
-                    batch_of = batch
-                cells[number[start]] = rank, batch_of, at, max(high, known[3]) if known else high
-        state = self.last.get()
-        before = None if state is None else state[0]
-        last, kept = before, []
-        for number in sorted(cells):
-            rank, batch, at, high = cells[number]
-            if last is None or rank[0] - last > self.ttl:
-                kept.append(batch.iloc[[at]])
-            last = high if last is None else max(last, high)
-        if last != before:
-            if before is not None:
-                self.handle.deleteTimer(self._expiry(before))
-            self.last.update((float(last),))
-            self.handle.registerTimer(self._expiry(last))
-        if kept:
-            yield pd.concat(kept)[self.columns]
-
-    def _expiry(self, last: float) -> int:
-        return int((last + self.ttl) * 1000) + 1
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.last.clear()  # no row that may still arrive is within ttl of the last sighting
-        return iter(())
-
-    def close(self) -> None:
-        pass
+def _repeat_filter(ttl: float, tie_break: Sequence[str], columns: Sequence[str]):
+    """State of a bucket of keys: when each was last seen.  A row passes when that is more than ttl ago.
+
+    The rows of a bucket arrive in batches, and each batch is cut down at once to the first
+    row and last time of every key and ttl-wide cell (rows in one cell are less than ttl
+    apart).  Memory follows the cells of a micro-batch, not the rows of a busy key, and all
+    keys of a bucket are handled by one pass over arrays.  A row older than its key's last
+    sighting is a repeat and moves nothing.
+    """
+    names = [*columns, *HELPERS, BUCKET]
+
+    def filter_bucket(bucket, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()  # no row that may still arrive is within ttl of these sightings
+            return
+        heads = []
+        for batch in batches:
+            batch.columns = names  # computed columns arrive unnamed
+            heads.append(_first_of_cells(batch, tie_break, ttl))
+        rows = _first_of_cells(pd.concat(heads), tie_break, ttl) if len(heads) > 1 else heads[0]
+        low, h1, h2 = (rows[c].to_numpy() for c in HELPERS)
+        high = rows["__high"].to_numpy()
+        first = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+
+        known: dict = {}
+        if state.exists:
+            old = [np.frombuffer(part, dtype=kind) for part, kind in zip(state.get, ("i8", "i8", "f8"))]
+            known = {(a, b): t for a, b, t in zip(*(part.tolist() for part in old))}
+        starts = np.flatnonzero(first)
+        keys = list(zip(h1[starts].tolist(), h2[starts].tolist()))
+        seen = np.array([known.get(k, -np.inf) for k in keys])
+        before = np.where(first, -np.inf, np.r_[-np.inf, high[:-1]])
+        before = np.maximum(before, np.repeat(seen, np.diff(np.r_[starts, len(rows)])))
+        keep = low - before > ttl
+
+        latest = np.maximum(seen, np.maximum.reduceat(high, starts))
+        known.update(zip(keys, latest.tolist()))
+        watermark = state.getCurrentWatermarkMs() / 1000
+        live = [(a, b, t) for (a, b), t in known.items() if t + ttl >= watermark]
+        if live:
+            a, b, t = (np.array(part, dtype=kind) for part, kind in zip(zip(*live), ("i8", "i8", "f8")))
+            state.update((a.tobytes(), b.tobytes(), t.tobytes()))
+            state.setTimeoutTimestamp(max(int((t.max() + ttl) * 1000), int(watermark * 1000)) + 1)
+        elif state.exists:
+            state.remove()
+        yield rows.loc[keep, list(columns)]
+
+    return filter_bucket
 
 
 def drop_repeats_stream(
@@ -84,10 +87,15 @@ def drop_repeats_stream(
     ttl: float = TTL_SECONDS,
     delay: str = "10 seconds",
     exact: bool = True,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Streaming counterpart of ``operators.dedup.drop_repeats``; ``ts`` is a timestamp.
 
-    Rows more than ``delay`` behind the newest are late and dropped by the watermark.
+    Rows more than ``delay`` behind the newest are late and dropped by the watermark.  State
+    is kept per bucket of keys (a 128-bit hash stands for a key), so that the cost of a
+    Python call is shared by many keys; ``buckets`` should be a few times the number of
+    shuffle partitions and must not change over the life of a checkpoint.
+
     ``exact=False`` uses Spark's own de-duplication, which may also drop later repeats.
     """
     if not exact:
@@ -95,10 +103,15 @@ def drop_repeats_stream(
             list(keys)
         )
     columns = events.columns
-    stream = events.withColumn(SECONDS, timestamp_seconds(F.col(ts))).withWatermark(ts, delay)
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=RepeatFilter(ttl, tie_break, columns),
+    hashes = (F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys))
+    helpers = dict(zip(HELPERS, (timestamp_seconds(F.col(ts)), *hashes)))
+    stream = events.withColumns(
+        {**helpers, BUCKET: F.pmod(hashes[0], F.lit(buckets))}
+    ).withWatermark(ts, delay)
+    return stream.groupBy(BUCKET).applyInPandasWithState(
+        _repeat_filter(ttl, tie_break, columns),
         outputStructType=events.schema,
-        outputMode="Append",
-        timeMode="EventTime",
+        stateStructType="h1 binary, h2 binary, last binary",
+        outputMode="append",
+        timeoutConf="EventTimeTimeout",
     )
