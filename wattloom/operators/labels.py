@@ -31,8 +31,9 @@ def drop_incomplete(df: DataFrame, keys: Sequence[str] = POD_KEYS) -> DataFrame:
     return df.dropna(how="any", subset=list(keys))
 
 
-def has_rows(df: DataFrame | None) -> bool:
-    return df is not None and not df.isEmpty()
+def has_rows(df: DataFrame | None, check: bool = True) -> bool:
+    """Whether a side is there; ``check=False`` takes any given frame as filled, without a job."""
+    return df is not None and not (check and df.isEmpty())
 
 
 def join_power_energy(
@@ -41,13 +42,15 @@ def join_power_energy(
     keys: Sequence[str] = STEP_KEYS,
     power_value: str = "avg_power_w",
     energy_value: str = "energy_step_j",
+    check: bool = True,
 ) -> DataFrame:
     """Power rows with the energy of the same step.
 
-    Where one side is empty the other gives the keys and the missing measure is null;
-    two empty sides are an error.
+    Where one side is empty (or ``None``) the other gives the keys and the missing measure
+    is null; two empty sides are an error.  ``check=False`` trusts the caller to pass
+    ``None`` for an empty side, which saves computing each side up to its first row.
     """
-    with_power, with_energy = has_rows(power), has_rows(energy)
+    with_power, with_energy = has_rows(power, check), has_rows(energy, check)
     if not with_power and not with_energy:
         raise ValueError("no power and no energy samples in the given range")
     nothing = F.lit(None).cast("double")
@@ -60,14 +63,16 @@ def join_power_energy(
     )
 
 
-def choose_owners(primary: DataFrame | None, fallback: DataFrame | None, source: str = "auto") -> DataFrame:
+def choose_owners(
+    primary: DataFrame | None, fallback: DataFrame | None, source: str = "auto", check: bool = True
+) -> DataFrame:
     """Owner map from the time-stamped primary source, or from the object dump.
 
     ``source``: ``prom`` insists on the primary, ``k8s`` on the dump, ``auto`` prefers the first.
     """
     if source not in ("prom", "k8s", "auto"):
         raise ValueError(f"unknown owner source {source!r}")
-    if source != "k8s" and has_rows(primary):
+    if source != "k8s" and has_rows(primary, check):
         return rename_aliases(primary).select(*POD_KEYS, "owner_kind", "owner_name", "ts")
     if source == "prom":
         raise ValueError("the primary source holds no owner map")

@@ -54,9 +54,19 @@ def first_owner(metadata: Column) -> Column:
     return F.get(either(metadata, "ownerReferences", "owner_references"), 0)
 
 
+def once(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
+    """``keep`` plus new columns that are computed once per row.
+
+    A filter on an ordinary computed column is pushed below it and repeats its expression,
+    here a whole JSON parse.  A generator of exactly one row is where that stops.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def parse_objects(df: DataFrame, json: str = "object") -> DataFrame:
     """Add the struct ``o`` read from the JSON text; text that is no object gives null."""
-    return df.withColumn("o", F.from_json(json, OBJECT_DDL))
+    return once(df, df.columns, o=F.from_json(json, OBJECT_DDL))
 
 
 def live_events(df: DataFrame, kind: str = "type") -> DataFrame:
@@ -177,11 +187,8 @@ def _requests(
         "parallelism": F.when(is_job, o_spec["parallelism"]),
         "completions": F.when(is_job, o_spec["completions"]),
     }
-    return step.select(
-        *keep,
-        *[fields[n].cast(dtype).alias(n) for n, dtype in REQUEST_FIELDS.items()],
-        reason.alias(REJECT),
-    )
+    typed = {n: fields[n].cast(dtype) for n, dtype in REQUEST_FIELDS.items()}
+    return once(step, keep, **typed, **{REJECT: reason})
 
 
 def manifest_requests(df: DataFrame, json: str = "object", keep: Sequence[str] = ()) -> DataFrame:
@@ -223,17 +230,15 @@ def object_keys(df: DataFrame, json: str = "object", kind: str | None = "kind")
         json,
         "kind string, metadata struct<namespace:string,name:string,resourceVersion:string,resource_version:string>",
     )
-    df = df.withColumn("__m", meta)
-    own = F.col("__m.kind")
-    m = F.col("__m.metadata")
-    return df.withColumns(
+    parsed = once(df, df.columns, __m=meta)
+    m, own = F.col("__m.metadata"), F.col("__m.kind")
+    version = F.nullif(either(m, "resourceVersion", "resource_version"), F.lit(""))
+    return parsed.withColumns(
         {
             "key_namespace": m["namespace"],
             "key_kind": F.coalesce(F.col(kind), own) if kind else own,
             "key_name": m["name"],
-            "key_version": F.coalesce(
-                F.nullif(either(m, "resourceVersion", "resource_version"), F.lit("")), F.lit("0")
-            ),
+            "key_version": F.coalesce(version, F.lit("0")),
         }
     ).drop("__m")
 

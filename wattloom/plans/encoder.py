@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wattloom.functions import vectors
 from wattloom.operators.flatten import CATEGORIES, META, NUMBERS
 
+MAX_CATEGORIES = 100_000  # beyond this a dense vector makes no sense, and fitting stops
+
 
 @dataclass(frozen=True)
 class Encoder:
@@ -52,7 +54,11 @@ class Encoder:
                     ]
                 )
             )
-            for row in rows.select(pairs.alias("p")).select("p.*").distinct().collect():
+            distinct = rows.select(pairs.alias("p")).select("p.*").distinct()
+            listed = distinct.limit(MAX_CATEGORIES + 1).collect()
+            if len(listed) > MAX_CATEGORIES:
+                raise ValueError(f"more than {MAX_CATEGORIES} categories: not a categorical column")
+            for row in listed:
                 found[row["col"]].append(row["value"])
         return Encoder(
             {c: (stats[f"m_{c}"], stats[f"s_{c}"]) for c in numbers},

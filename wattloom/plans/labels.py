@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from wattloom.functions.quantities import epoch_seconds, step_seconds
 from wattloom.operators import labels as ops
 from wattloom.operators.counters import counter_steps
-from wattloom.operators.grid import grid_max, grid_sum
+from wattloom.operators.grid import LOOKBACK_SECONDS, grid_max, grid_sum
 
 WINDOW_COLUMNS = (
     "ts", "namespace", "workload_kind", "workload_name", "pod", "avg_power_w", "energy_step_j"
@@ -52,11 +52,13 @@ def build_labels(
     owner_dump: DataFrame | None = None,
     owner_source: str = "auto",
     mode: str = "window",
+    check: bool = True,
 ) -> DataFrame:
     """Labels per pod and step (``window``) or per pod over the range (``job``).
 
     ``power`` and ``energy`` are per-pod series (namespace, pod or an alias, ts, value) with
-    one row per step, as :func:`pod_series` gives them; energy is a counter.
+    one row per step, as :func:`pod_series` gives them; energy is a counter.  ``check=False``
+    means that an empty input has been replaced by ``None`` already.
     """
     if mode not in ("window", "job"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -66,9 +68,54 @@ def build_labels(
         energy = ops.drop_incomplete(ops.rename_aliases(energy))
         # One row per step already, so a pod's group is bounded by the length of the range.
         energy = counter_steps(energy, max_group_rows=None)
-    joined = ops.join_power_energy(power, energy)
-    chosen = ops.choose_owners(owners, owner_dump, owner_source)
+    joined = ops.join_power_energy(power, energy, check=check)
+    chosen = ops.choose_owners(owners, owner_dump, owner_source, check)
     labelled = ops.with_owner(joined, chosen)
     if mode == "job":
         return ops.rollup(labelled)
     return labelled.select(*WINDOW_COLUMNS)
+
+
+def labels_from_samples(
+    power: DataFrame | None,
+    energy: DataFrame | None,
+    owners: DataFrame | None,
+    owner_dump: DataFrame | None,
+    start: str | float,
+    end: str | float,
+    step: str | int = DEFAULT_STEP,
+    owner_source: str = "auto",
+    mode: str = "window",
+    series: Sequence[str] = ("container",),
+    ts: str = "ts",
+    lookback: int = LOOKBACK_SECONDS,
+    **grid_args,
+) -> DataFrame:
+    """Labels from raw samples of three metrics.
+
+    Which metrics are there is found out on the raw samples, a filtered scan that stops at
+    the first row, and not on the series made from them.
+    """
+    first, width = epoch_seconds(start), step_seconds(step)
+    last = first + (epoch_seconds(end) - first) // width * width
+    grid = dict(start=start, end=end, step=step, ts=ts, lookback=lookback, **grid_args)
+
+    def present(samples: DataFrame | None, need_keys: bool = False) -> bool:
+        if samples is None:
+            return False
+        named = ops.rename_aliases(samples)
+        if need_keys:
+            named = ops.drop_incomplete(named)
+        at = F.col(ts).cast("double")
+        return ops.has_rows(named.filter((at > F.lit(first - lookback)) & (at <= F.lit(last))))
+
+    return build_labels(
+        pod_series(power, series=series, **grid) if present(power) else None,
+        pod_series(energy, series=series, **grid) if present(energy, need_keys=True) else None,
+        owner_series(owners, **grid) if owner_source != "k8s" and present(owners) else None,
+        owner_dump,
+        owner_source,
+        mode,
+        # A sample serves some grid point for sure only if it outlives a step.
+        check=lookback < width,
+    )

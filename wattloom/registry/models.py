@@ -12,7 +12,7 @@ from wattloom.operators.metrics import fold_metrics, summary
 from wattloom.plans.dataset import join_diagnostics, training_rows
 from wattloom.plans.encoder import Encoder
 from wattloom.plans.evaluate import cross_validate, score_report
-from wattloom.plans.labels import build_labels, owner_series, pod_series
+from wattloom.plans.labels import labels_from_samples
 from wattloom.plans.model import KnnModel
 from wattloom.plans.score import over_horizon, requests_of_documents, score_documents, score_requests
 from wattloom.registry.base import EV, events, grid_sql, query, r, span, table
@@ -255,7 +255,9 @@ c AS (SELECT enc.workload_name AS id, v, nation, y FROM enc JOIN y ON workload_n
 )
 def cv_metrics(spark, sf):
     """Spending of customers from their features, folds by nation."""
-    return _metrics(cross_validate(_spenders(spark, sf), "y", group="nation", id="workload_name"))
+    path = scratch_path(spark, "spenders")
+    write_table(_spenders(spark, sf), path)  # read several times by the evaluation
+    return _metrics(cross_validate(read_table(spark, path), "y", group="nation", id="workload_name"))
 
 
 @query(
@@ -351,18 +353,19 @@ def _samples(spark, sf):
     )
 
 
-def _label_inputs(spark, sf):
+def _labels(spark, sf, mode: str, timed_owners: bool) -> DataFrame:
     samples = _samples(spark, sf)
     lo, hi = span(samples)
-    grid = {"start": lo, "end": hi, "step": "1h", "ts": "t", "tie_break": "event_id", "lookback": DAY}
     metric = lambda *kinds: samples.filter(F.col("event_type").isin(*kinds))
-    power = pod_series(metric("view", "purchase"), series=["event_type"], **grid)
-    energy = pod_series(metric("click", "signup"), series=["event_type"], **grid)
-    owners = owner_series(metric("error"), **grid)
-    dump = metric("error").select(
+    owners = metric("error")
+    dump = owners.select(
         F.col("container_namespace").alias("namespace"), F.col("pod_name").alias("pod"), "owner_kind", "owner_name"
     ).distinct()
-    return power, energy, owners, dump
+    return labels_from_samples(
+        metric("view", "purchase"), metric("click", "signup"),
+        owners if timed_owners else owners.filter(F.col("t") < lo), dump,
+        lo, hi, "1h", mode=mode, series=["event_type"], ts="t", lookback=DAY, tie_break="event_id",
+    )
 
 
 @query(
@@ -372,8 +375,7 @@ def _label_inputs(spark, sf):
 )
 def label_builder(spark, sf):
     """Labels per step with owners per step."""
-    power, energy, owners, dump = _label_inputs(spark, sf)
-    out = build_labels(power, energy, owners, dump)
+    out = _labels(spark, sf, "window", timed_owners=True)
     return out.withColumns({c: F.round(c, 4) for c in ("avg_power_w", "energy_step_j")})
 
 
@@ -388,8 +390,7 @@ def label_builder_job(spark, sf):
 
 
 def _job_labels(spark, sf) -> DataFrame:
-    power, energy, owners, dump = _label_inputs(spark, sf)
-    return build_labels(power, energy, owners.filter(F.col("ts") < 0), dump, mode="job")
+    return _labels(spark, sf, "job", timed_owners=False)
 
 
 TRAIN_SQL = f"""{SAMPLES_SQL}, {JOB_SQL}, {ROWS_SQL},
