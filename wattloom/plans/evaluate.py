@@ -26,7 +26,9 @@ def cross_validate(
     folded = with_folds(rows, group, n_splits, "fold")
     entries = knn.training_entries(folded, features, "__id", target, k, exclude="fold")
     queries = folded.select("fold", features, F.col(target).cast("double").alias("target"))
-    found = knn.with_neighbours(queries, entries, k, features, "fold", limits=limits)
+    found = knn.with_neighbours(
+        queries, entries, k, features, "fold", limits=limits, expected_queries=queries.count()
+    )
     return fold_metrics(knn.with_prediction(found))
 
 

@@ -459,14 +459,21 @@ def spec_hash(spark, sf):
     return flat(spark, sf).select("p_partkey", "spec_hash")
 
 
+# JSON escapes of one character in SQL, code points beyond the first plane as a surrogate pair.
+CHAR_SQL = r"""CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r'
+  WHEN c = chr(9) THEN '\t' WHEN c = chr(8) THEN '\b' WHEN c = chr(12) THEN '\f' WHEN unicode(c) BETWEEN 32 AND 126 THEN c
+  WHEN unicode(c) < 65536 THEN '\u' || lpad(lower(to_hex(unicode(c))), 4, '0')
+  ELSE '\u' || lower(to_hex(55296 + (unicode(c) - 65536) // 1024)) || '\u' || lower(to_hex(56320 + (unicode(c) - 65536) % 1024)) END"""
+
+
 @query(
     "text_hash",
-    """SELECT doc_id, sha256('"' || replace(replace(text, '\\', '\\\\'), '"', '\\"') || '"') AS digest FROM documents
-WHERE NOT regexp_matches(text, '[^ -~]')""",
+    f"""SELECT doc_id, sha256('"' || array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: {CHAR_SQL}), '') || '"') AS digest
+FROM documents""",
 )
 def text_hash(spark, sf):
-    """JSON strings of whole texts, hashed; SQL can follow where a text needs no other escapes."""
-    docs = table(spark, sf, "documents").filter(~F.col("text").rlike("[^ -~]"))
+    """Whole texts of four languages as JSON strings, hashed: the escaping behind the spec hash."""
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.sha2(specs.json_string(F.col("text")), 256).alias("digest"))
 
 
