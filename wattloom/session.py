@@ -41,11 +41,14 @@ def build_session(app: str = "wattloom", master: str | None = None, **conf: str)
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    Only where the cluster names none (a bare local session) a temporary folder is made
-    and recorded in the session, so later calls agree on it.
+    A bare local session names none; a temporary folder is made then and recorded in the
+    session, so later calls agree on it.  On a cluster that would be a machine's own disk,
+    so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="wattloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
