@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 JOIN_KEYS = ("namespace", "canon_name")
 WORKLOAD = ("namespace", "workload_kind", "workload_name")
@@ -79,3 +79,9 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def observed(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
+    """The frame and a counter of its rows, filled by whatever job runs the frame next."""
+    counter = Observation(stage)
+    return df.observe(counter, F.count(F.lit(1)).alias("rows")), counter

@@ -193,6 +193,19 @@ def knn_neighbours(spark, sf):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "row_prediction",
+    f"""WITH {EMBEDDINGS_SQL}, one AS (SELECT * FROM e WHERE id = (SELECT max(id) FROM e)), nn AS ({knn_sql('e', 'one', 5)})
+SELECT qid AS vec_id, round(avg(y), 6) AS prediction FROM nn GROUP BY qid""",
+)
+def row_prediction(spark, sf):
+    """Spot check: one row looked up by key, and its prediction from all rows."""
+    rows = _embeddings(spark, sf)
+    newest = rows.orderBy(F.desc("vec_id")).limit(1)
+    model = KnnModel.fit(rows, "y", features="embedding", id="vec_id")
+    return model.predict(newest, "embedding").select("vec_id", r("prediction"))
+
+
 @query(
     "batch_score",
     f"""WITH {EMBEDDINGS_SQL}, nn AS ({knn_sql('e', 'e', 5)})

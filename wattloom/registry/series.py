@@ -10,7 +10,9 @@ from wattloom.operators import keys, labels as lab
 from wattloom.operators.counters import counter_steps
 from wattloom.operators.dedup import drop_repeats
 from wattloom.operators.grid import grid_max, grid_sum, on_grid
+from wattloom.operators.requests import allow, live_events
 from wattloom.registry.base import EV, events, grid_sql, query, r, span, table
+from wattloom.session import scratch_path
 from wattloom.sources.series import RESPONSE_DDL, flatten_series
 
 STEP_SQL = f"""WITH {EV}, w AS (
@@ -336,6 +338,20 @@ def group_sizes(spark, sf):
     return keys.group_sizes(table(spark, sf, "events"), "user_id")
 
 
+@query(
+    "stage_rows",
+    f"""WITH {EV}, w AS (SELECT t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM ev)
+SELECT 'samples' AS stage, count(*) AS "rows" FROM ev UNION ALL SELECT 'sightings', count(*) FROM w WHERE gap IS NULL OR gap > 10""",
+)
+def stage_rows(spark, sf):
+    """Row counts of two stages, taken while the second is written."""
+    samples, seen = keys.observed(events(spark, sf).select("event_id", "user_id", "t"), "samples")
+    kept, left = keys.observed(drop_repeats(samples, ["user_id"], "t", ["event_id"]), "sightings")
+    kept.write.parquet(scratch_path(spark, "sightings"))
+    counts = [("samples", seen.get["rows"]), ("sightings", left.get["rows"])]
+    return spark.createDataFrame(counts, 'stage string, rows bigint')
+
+
 @query(
     "finite_targets",
     """WITH x AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'nan'::DOUBLE WHEN 'error' THEN NULL
@@ -411,18 +427,16 @@ def ttl_dedup_default(spark, sf):
 
 @query(
     "event_filter",
-    """SELECT event_id, event_type, user_id % 7 AS ns FROM events
-WHERE event_type IN ('click', 'view') AND user_id % 7 IN (1, 2, 5)""",
+    """SELECT o_orderkey, o_orderpriority FROM orders
+WHERE o_orderstatus IN ('O', 'F') AND o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')""",
 )
 def event_filter(spark, sf):
-    from wattloom.operators.requests import LIVE_EVENTS, allow, live_events
-
-    names = dict(zip(("click", "view"), LIVE_EVENTS))
-    kind = F.col("event_type")
-    for old, new in names.items():
-        kind = F.when(F.col("event_type") == old, new).otherwise(kind)
-    ev = table(spark, sf, "events").select("event_id", "event_type", kind.alias("type"), (F.col("user_id") % 7).alias("ns"))
-    return allow(allow(live_events(ev), "ns", [1, 2, 5]), "event_type", None).drop("type")
+    """Order status as kind of change, priority as namespace; the list of kinds lets all pass."""
+    status = F.col("o_orderstatus")
+    change = F.when(status == "O", "ADDED").when(status == "F", "MODIFIED").otherwise("DELETED")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", change.alias("type"))
+    spaces = ["1-URGENT", "2-HIGH", "5-LOW"]
+    return allow(allow(live_events(rows), "o_orderpriority", spaces), "type", None).drop("type")
 
 
 @query(

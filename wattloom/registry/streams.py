@@ -42,9 +42,9 @@ def _changes(spark, sf: str) -> DataFrame:
     """(type, kind, ts, object): an object change per event; some are deletions."""
     kind = F.when(F.col("event_type") == "error", "DELETED").otherwise("ADDED")
     meta = F.struct(
-        F.concat(F.lit("ns-"), s(F.col("user_id") % 10)).alias("namespace"),
+        F.col("event_type").alias("namespace"),
         F.concat(F.lit("app"), s("user_id")).alias("name"),
-        F.col("event_type").alias("resourceVersion"),
+        F.lit("7").alias("resourceVersion"),
     )
     body = F.struct(meta.alias("metadata"), F.col("event_id").alias("event_id"))
     return table(spark, sf, "events").select(
@@ -66,7 +66,7 @@ def _write_changes(changes: DataFrame, path: str) -> None:
 @query(
     "snapshot_then_stream",
     f"""WITH {EV}, w AS (SELECT *, lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS p FROM ev
-  WHERE event_type <> 'error' AND user_id % 10 <> 3)
+  WHERE event_type IN ('click', 'signup', 'view'))
 SELECT event_id FROM w WHERE p IS NULL OR t - p > {SIX_HOURS}""",
 )
 def snapshot_then_stream(spark, sf):
@@ -74,7 +74,7 @@ def snapshot_then_stream(spark, sf):
     path = scratch_path(spark, "changes")
     changes = _changes(spark, sf)
     middle = F.lit("2024-01-16").cast("timestamp")
-    spaces = [f"ns-{i}" for i in range(10) if i != 3]
+    spaces = ["click", "error", "signup", "view"]
     early = changes.filter((F.col("ts") < middle) & (F.col("type") != "DELETED"))
     _write_changes(as_events(early, F.col("ts")), f"{path}/in/1-snapshot")
     fresh = fresh_events(stream_changes(spark, f"{path}/in"), ("Deployment", "Job"), spaces, ttl=SIX_HOURS)
