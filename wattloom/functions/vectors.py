@@ -7,7 +7,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -70,7 +70,9 @@ def hashed_text(df: DataFrame, text: str, out: str, dim: int = TEXT_DIM) -> Data
     counted = HashingTF(numFeatures=dim, inputCol="__words", outputCol="__counts").transform(
         df.withColumn("__words", words)
     )
-    return counted.withColumn(out, normalise(vector_to_array("__counts"))).drop("__words", "__counts")
+    # Scaled while still sparse, then spelled out.
+    unit = Normalizer(p=2.0, inputCol="__counts", outputCol="__unit").transform(counted)
+    return unit.withColumn(out, vector_to_array("__unit")).drop("__words", "__counts", "__unit")
 
 
 def model_text(
