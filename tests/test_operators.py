@@ -231,7 +231,7 @@ def nearest_by_hand(rows, k, exclude):
 
 
 @pytest.mark.parametrize("exclude", [None, "fold"])
-@pytest.mark.parametrize("limits", [knn.Limits(), knn.Limits(0, 16, 20, 8), knn.Limits(0, 1000, 1000, 1)])
+@pytest.mark.parametrize("limits", [knn.Limits(), knn.Limits(0, 16, 20, 8), knn.Limits(0, 1000, 1000, 1), knn.Limits(0, 16, 20, 8, 3)])
 @pytest.mark.parametrize("k", [1, 5])
 def test_neighbours(vectors, exclude, limits, k):
     rows, df = vectors
