@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wattloom.llm.decontam import contamination
 from wattloom.llm.exact_dedup import exact_duplicates
 from wattloom.llm.line_dedup import drop_repeated_lines
+from wattloom.llm.simhash import near_duplicates
 from wattloom.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +86,8 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
 def op4(spark, sf_dir):
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("digest")
+
+
+@query("op3_simhash")
+def op3(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
