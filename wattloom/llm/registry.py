@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wattloom.llm import chat
 from wattloom.llm.decontam import contamination
 from wattloom.llm.exact_dedup import exact_duplicates
 from wattloom.llm.line_dedup import drop_repeated_lines
+from wattloom.llm.mixing import mix
 from wattloom.llm.simhash import near_duplicates
 from wattloom.session import configure
 
@@ -91,3 +93,49 @@ def op4(spark, sf_dir):
 @query("op3_simhash")
 def op3(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+
+
+@query("op6_mixing")
+def op6(spark, sf_dir):
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+def _escaped_length(column: str) -> str:
+    for plain, coded in chat.ESCAPES:
+        column = f"replace({column}, '{plain}', '{coded}')"
+    return f"length({column})"
+
+
+@query(
+    "op9_chat_format",
+    f"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+r AS (SELECT *, row_number() OVER w - 1 AS n, length(text) // 4 + 4 AS tokens FROM c
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+p AS (SELECT *, CAST((sum(tokens) OVER (PARTITION BY conv_id ORDER BY n) - tokens) AS BIGINT) // {chat.BUDGET} AS raw,
+  n = 0 AND role = 'system' AS head,
+  {len(chat.TURN + chat.TEXT + chat.END) + 3} + length(CAST(n AS VARCHAR)) + {_escaped_length("role")} + {_escaped_length("text")}
+    AS size FROM r),
+v AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY raw) - 1 AS win FROM p),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, win ORDER BY n DESC) AS from_end,
+  max(win) OVER (PARTITION BY conv_id) AS last FROM v)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) + coalesce(sum(size) FILTER (WHERE from_end <= {chat.HISTORY} AND tokens <= {chat.HISTORY_TOKENS}
+      AND NOT head AND win < last), 0)
+    + coalesce(sum(size * last) FILTER (WHERE head), 0) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+)
+def op9(spark, sf_dir):
+    """All conversations and one, -1, whose texts are made of control strings."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
