@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattloom.llm import chat
+from wattloom.llm import chat, toxicity
 from wattloom.llm.decontam import contamination
 from wattloom.llm.exact_dedup import exact_duplicates
 from wattloom.llm.line_dedup import drop_repeated_lines
@@ -139,3 +139,16 @@ def op9(spark, sf_dir):
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), net)
+    return scored.select(
+        "doc_id",
+        toxicity.is_held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
