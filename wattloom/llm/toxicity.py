@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wattloom.llm.common import unused
-from wattloom.llm.wordtext import WordTable, chunks, letter_words, pieces
+from wattloom.llm.wordtext import WordTable, chunks, hashed_pieces, letter_words
 
 WINDOW, STRIDE = 32, 24
 VECTOR, HIDDEN, ATTEND = 16, 8, 8
@@ -65,17 +65,15 @@ class Network:
             np.zeros(1, np.float32),
         )
 
-    def vectors(self, words: list[str]) -> tuple[np.ndarray, list[int], list[list[int]]]:
+    def vectors(self, words: list[str]) -> np.ndarray:
         ids = [zlib.crc32(w.encode()) % WORD_BUCKETS for w in words]
-        parts = [pieces(w, 3, 5, PIECE_BUCKETS) for w in words]
-        ends = np.cumsum([0] + [len(p) for p in parts])[:-1]
-        flat = np.concatenate(parts) if parts else np.empty(0, int)
-        mean = np.add.reduceat(self.pieces[flat], ends, axis=0) / np.array([[len(p)] for p in parts], np.float32)
-        return self.words[ids] + mean, ids, parts
+        flat, sizes = hashed_pieces(words, 3, 5, PIECE_BUCKETS)
+        mean = np.add.reduceat(self.pieces[flat], np.cumsum(np.r_[0, sizes])[:-1], axis=0) / sizes[:, None]
+        return (self.words[ids] + mean).astype(np.float32)
 
     def entries(self, words: list[str]) -> np.ndarray:
         """What a word adds to the gates of both directions."""
-        x, _, _ = self.vectors(words)
+        x = self.vectors(words)
         return np.concatenate([x @ self.enter2[d] + self.bias2[d] for d in (0, 1)], axis=1)
 
 
@@ -165,16 +163,15 @@ def _windows(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.where(inside, ids[np.minimum(at, len(ids) - 1)], 0), np.concatenate(owner)
 
 
-def _first_windows(texts: list[list[str]], labels: np.ndarray, owner: np.ndarray, windows: np.ndarray, words: list[str]):
-    """Where to begin: of each toxic text the window with the piece most typical of toxic texts."""
-    parts = {w: set(pieces(w, 3, 5, PIECE_BUCKETS)) for w in words}
+def _first_windows(texts: list[np.ndarray], labels: np.ndarray, windows: np.ndarray, parts: list[np.ndarray]):
+    """Where to begin: how typical of toxic texts the most typical piece of each window is."""
     seen = np.zeros((2, PIECE_BUCKETS))
-    for ws, y in zip(texts, labels):
-        found = set().union(*[parts[w] for w in set(ws)]) if ws else set()
-        seen[y, list(found)] += 1
+    for ids, y in zip(texts, labels):
+        if len(ids):
+            seen[y, np.unique(np.concatenate([parts[i] for i in np.unique(ids)]))] += 1
     total = np.maximum(1, np.bincount(labels, minlength=2))
     odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
-    typical = np.array([0.0] + [max((odds[p] for p in parts[w]), default=0.0) for w in words])
+    typical = np.array([0.0] + [odds[p].max() for p in parts[1:]])
     return typical[windows].max(axis=1)
 
 
@@ -193,9 +190,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 0, rounds: int = 3, epo
     ids = np.fromiter((number[w] for ws in split for w in ws), np.int32)
     windows, owner = _windows(ids, np.array([len(ws) for ws in split]))
     y_of = y[owner]
-    score = _first_windows(split, y, owner, windows, words)
+    flat, sizes = hashed_pieces(words, 3, 5, PIECE_BUCKETS)
+    parts = [np.array([0]), *np.split(flat, np.cumsum(sizes)[:-1])]
+    score = _first_windows(np.split(ids, np.cumsum([len(ws) for ws in split])[:-1]), y, windows, parts)
     word_ids = np.array([0] + [zlib.crc32(w.encode()) % WORD_BUCKETS for w in words])
-    parts = [np.array([0])] + [np.array(pieces(w, 3, 5, PIECE_BUCKETS)) for w in words]
     names = ["words", "pieces", "enter2", "recur2", "bias2", "attend", "query", "out", "shift"]
     first = {k: np.zeros_like(getattr(net, k)) for k in names}
     second = {k: np.zeros_like(getattr(net, k)) for k in names}

@@ -17,13 +17,26 @@ def letter_words(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def pieces(word: str, low: int, high: int, buckets: int) -> list[int]:
-    """Hash buckets of the word's character n-grams, its ends marked; very long words give their first 64 letters' only."""
-    marked = f"<{word[:64]}>"
-    n = len(marked)
-    return [zlib.crc32(marked[i : i + k].encode()) % buckets for k in range(low, high + 1) for i in range(n - k + 1)] or [
-        zlib.crc32(marked.encode()) % buckets
-    ]
+def hashed_pieces(words: list[str], low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of the words' character n-grams, ends marked: all words' one after another, and how many each has.
+
+    ``low`` may be 3 at most, so that every word has one.
+    """
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.cumsum(sizes)[word] - np.arange(len(codes))
+    found, owner = [], []
+    for k in range(low, high + 1):
+        at = np.flatnonzero(left >= k)
+        h = np.full(len(at), k, np.uint64)
+        for j in range(k):
+            h = h * np.uint64(1_000_003) + codes[at + j]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        found.append(((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64))
+        owner.append(word[at])
+    owner = np.concatenate(owner)
+    return np.concatenate(found)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
 def chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
