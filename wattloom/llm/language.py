@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     so is every text if nothing was learned.  Ties go to the language first in order.  Repeated rows come out each,
     an empty table gives an empty result, other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size per language, about 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(dict(vars(model)))  # a fixed size per language, about 1 MB
     span = StructType([StructField("first", LongType()), StructField("words", LongType()), StructField("lang", StringType())])
     schema = StructType(
         [
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kinds = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(**shared.value)
         table = WordTable(max(1, len(model.languages)), model.scores)
         for batch in batches:
             for start, texts in chunks(batch, 1):

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattloom.llm import chat, toxicity
+import corpus_pipeline
+from wattloom.llm import chat, language, tokens, toxicity, urllists
 from wattloom.llm.decontam import contamination
 from wattloom.llm.exact_dedup import exact_duplicates
 from wattloom.llm.line_dedup import drop_repeated_lines
@@ -152,3 +153,89 @@ def op8(spark, sf_dir):
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op1_language")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    learn = docs.filter(~F.coalesce(language.is_held_out(), F.lit(True)))
+    model = language.fit(*language.fit_rows(learn))
+    found = language.identify(docs, model)
+    held_out = F.coalesce(language.is_held_out(), F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query("op2_token_counts")
+def op2(spark, sf_dir):
+    automaton = tokens.Automaton(*tokens.piece_vocabulary())
+    return tokens.token_counts(table(spark, sf_dir, "documents"), automaton)
+
+
+_START = 1_704_067_200  # 2024-01-01
+_YEAR = 365 * 86_400
+_FETCHED = f"CAST({_START} + (page_id * 7919) % {_YEAR} AS BIGINT)"
+_BYTE = (
+    "CAST((instr('0123456789abcdef', substr(md5(pattern), {0}, 1)) - 1) * 16"
+    " + instr('0123456789abcdef', substr(md5(pattern), {1}, 1)) - 1 AS BIGINT)"
+)
+_B1, _B2, _B3 = (_BYTE.format(i, i + 1) for i in (1, 3, 5))
+_DAY = f"{_START} + 86400 *"
+# Dated entries made from the hosts, domains and first path parts of the pages themselves: (list, allow, which, when, added).
+_ENTRIES = [
+    ("spam", False, f"NOT has_path AND {_B1} < 128", f"{_DAY} {_B2}", True),
+    ("spam", False, f"NOT has_path AND {_B1} < 96", f"{_DAY} ({_B2} + 20 + {_B3} % 64)", False),
+    ("spam", False, f"NOT has_path AND {_B1} < 48", f"{_DAY} ({_B2} + 90 + {_B3} % 32)", True),
+    ("adult", False, f"NOT has_path AND {_B1} >= 208", f"{_DAY} ({_B3} % 200)", True),
+    ("trusted", True, f"has_path AND {_B1} < 96", f"{_DAY} {_B3}", True),
+    ("trusted", True, f"has_path AND {_B1} < 32", f"{_DAY} ({_B3} + 30)", False),
+]
+_HOST = r"lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_PATH = r"regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1)"
+
+
+@query(
+    "op7_url_lists",
+    f"""WITH p AS (SELECT page_id, url, {_FETCHED} AS fetched, {_HOST} AS host,
+  list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS parts FROM pages),
+k AS (SELECT page_id, fetched, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, 99), '.')),
+    list_transform(range(1, len(parts) + 1), lambda i: concat(host, '/', array_to_string(list_slice(parts, 1, i), '/')))))
+  AS pattern FROM p WHERE host <> ''),
+s AS (SELECT DISTINCT host AS pattern, false AS has_path FROM p WHERE host <> ''
+  UNION SELECT DISTINCT regexp_replace(host, '^[^.]*[.]', ''), false FROM p WHERE host <> ''
+  UNION SELECT DISTINCT lower(concat(host, '/', parts[1])), true FROM p WHERE host <> '' AND len(parts) > 0),
+e AS ({" UNION ALL ".join(
+    f"SELECT '{name}' AS list_name, {allow} AS allow, pattern, {at} AS since, {added} AS added FROM s WHERE {which}"
+    for name, allow, which, at, added in _ENTRIES)}),
+i AS (SELECT * FROM (SELECT list_name, allow, pattern, since AS start, added,
+    lead(since) OVER (PARTITION BY list_name, allow, pattern ORDER BY since) AS stop
+  FROM (SELECT list_name, allow, pattern, since, bool_and(added) AS added FROM e
+    GROUP BY list_name, allow, pattern, since)) WHERE added),
+m AS (SELECT k.page_id, i.* FROM k JOIN i ON k.pattern = i.pattern AND start <= fetched AND (stop IS NULL OR fetched < stop)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(i.pattern) DESC, NOT allow, list_name, i.pattern) = 1)
+SELECT p.page_id, fetched, host, coalesce(NOT allow, false) AS blocked, list_name, pattern
+FROM p LEFT JOIN m USING (page_id)""",
+)
+def op7(spark, sf_dir):
+    """Pages carry no dates and no lists come with them, so both are derived from the pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_FETCHED).alias("fetched"))
+    every = pages.select(
+        urllists.host_of(F.col("url")).alias("host"),
+        F.array_remove(F.split(F.expr(_PATH), "/"), "").alias("parts"),
+    ).filter("host <> ''")
+    hosts = every.select(F.col("host").alias("pattern"), F.lit(False).alias("has_path"))
+    parents = every.select(F.regexp_replace("host", "^[^.]*[.]", ""), F.lit(False))
+    paths = every.filter("size(parts) > 0").select(F.lower(F.concat("host", F.lit("/"), F.col("parts")[0])), F.lit(True))
+    subjects = hosts.union(parents).union(paths).distinct()
+    entries = None
+    for name, allow, which, at, added in _ENTRIES:
+        part = subjects.filter(which).select(
+            F.lit(name).alias("list_name"), F.lit(allow).alias("allow"), "pattern", F.expr(f"{at} AS at"), F.lit(added).alias("added")
+        )
+        entries = part if entries is None else entries.unionByName(part)
+    return urllists.judge(pages, entries).drop("url")
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir).drop("text")

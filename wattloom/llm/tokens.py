@@ -57,6 +57,15 @@ class Automaton:
                 if back >= 0:
                     self.fail[to], self.pops[to] = self.edges[back][letter], popped
 
+    def parts(self) -> tuple:
+        return self.edges, self.fail, self.pops
+
+    @staticmethod
+    def of_parts(parts: tuple) -> "Automaton":
+        made = Automaton.__new__(Automaton)
+        made.edges, made.fail, made.pops = parts
+        return made
+
     def count(self, word: str) -> int:
         """Number of pieces of a word; 0 if it has a part that no piece matches."""
         at, total, edges, fail, pops = 0, 0, self.edges, self.fail, self.pops
@@ -98,12 +107,12 @@ def token_counts(
     counts in ``n_unknown``.  A null or empty text has none of anything.  Repeated rows come out each, an empty table
     gives an empty result, other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)  # as large as the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(automaton.parts())  # as large as the vocabulary
     names = ["doc_id", "n_words", "n_tokens", "n_unknown"]
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *[StructField(n, LongType()) for n in names[1:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, known = shared.value.count, {}
+        count, known = Automaton.of_parts(shared.value).count, {}
         for batch in batches:
             for start, texts in chunks(batch, 1):
                 rows = []

@@ -309,14 +309,14 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
     Repeated rows are scored each; an empty table gives an empty result; a column called ``out`` is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size, about 3 MB
+    shared = docs.sparkSession.sparkContext.broadcast(dict(vars(net)))  # a fixed size, about 3 MB
     kept = [c for c in docs.columns if c.lower() != out.lower()]
     (text,) = unused(docs, "__text")
     plain = docs.select(*kept, F.col(text_col).cast("string").alias(text))
     schema = StructType([*[docs.schema[c] for c in kept], StructField(out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+        net = Network(**shared.value)
         table = WordTable(6 * HIDDEN, net.entries)
         for batch in batches:
             for start, texts in chunks(batch, len(kept)):
