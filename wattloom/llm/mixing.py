@@ -123,7 +123,7 @@ def tilts(histogram: DataFrame, sources: DataFrame, limit: float = LIMIT, tolera
 def _cut(sized: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     """Add ``cut``: a document gets a copy more than its whole ones when its draw less its fraction is below.
 
-    Found by two rounds of counting words by cell of that difference.  ``flip`` mends what one document can.
+    Found by two rounds of counting words by cell of that difference.  ``flips`` mend what two documents can.
     """
     def spread(params: DataFrame) -> DataFrame:
         rate = _rate(limit)
@@ -148,11 +148,10 @@ def _cut(sized: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
         upto = F.sum("mass").over(Window.partitionBy("__source").orderBy("cell"))
         mass = mass.withColumn("upto", upto).join(params.select("__source", "need"), "__source")
         over = F.col("upto") - F.col("need")
-        if last:  # the edge nearest to the need, over or under
-            nearest = mass.groupBy("__source").agg(F.min_by(F.struct("cell", "upto"), F.struct(F.abs(over), F.col("cell"))).alias("best"))
-            use = F.col("best").isNotNull() & (F.abs(F.col("best.upto") - F.col("need")) < F.abs("need"))
-            cut = F.when(use, F.col("from") + F.col("width") * (F.col("best.cell") + 1)).otherwise(F.col("from"))
-            params = params.join(nearest, "__source", "left").withColumn("cut", cut).drop("best", "from", "width", "need", "sure")
+        if last:  # the last edge that does not exceed the need
+            under = mass.filter(over <= 0).groupBy("__source").agg(F.max("cell").alias("cell"))
+            cut = F.col("from") + F.col("width") * (F.coalesce("cell", F.lit(-1)) + 1)
+            params = params.join(under, "__source", "left").withColumn("cut", cut).drop("cell", "from", "width", "need", "sure")
         else:  # the cell in which the need is reached
             under = mass.filter(over <= 0).groupBy("__source").agg(F.max("cell").alias("cell"), F.max("upto").alias("upto"))
             start = F.col("from") + F.col("width") * (F.coalesce("cell", F.lit(-1)) + 1)
@@ -165,21 +164,35 @@ def _cut(sized: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
 
 
 def _touched(spread, params: DataFrame, limit: float) -> DataFrame:
-    """Add ``flip``: the draw of one document per source whose extra copy comes or goes, if that brings the total nearer."""
-    held = spread(params).withColumn("more", (F.col("rate") < limit) & (F.col("off") < F.col("cut")))
-    got = held.groupBy("__source").agg(F.sum(F.col("__size") * (F.col("base") + F.col("more").cast("int"))).alias("got"))
-    short = written(params.join(got, "__source", "left").withColumn("short", F.col("target") - F.col("got")), "short")
-    units = (
-        held.filter((F.col("rate") < limit) & (F.col("__size") > 0))
-        .groupBy("__source", "__draw", "more")
-        .agg(F.sum("__size").alias("mass"))
-        .join(small_or_not(short.select("__source", "short")), "__source")
-        .filter(F.when(F.col("short") > 0, ~F.col("more")).otherwise(F.col("more")))
-        .withColumn("miss", F.abs(F.abs("short") - F.col("mass")))
-        .filter(F.col("miss") < F.abs("short"))
-    )
-    flips = units.groupBy("__source").agg(F.min_by("__draw", F.struct("miss", "__draw")).alias("flip"))
-    return written(short.drop("got", "short").join(flips, "__source", "left"), "mix")
+    """Add ``flips``: draws of two documents per source that get a copy more, to fill what is missing below the target.
+
+    The first is the largest that fits, the second the nearest to what is left then, if it brings the total nearer.
+    """
+    params = params.withColumn("flips", F.array().cast("array<double>"))
+    for nearest in (False, True):
+        held = spread(params).withColumn("more", _more(limit))
+        got = held.groupBy("__source").agg(F.sum(F.col("__size") * (F.col("base") + F.col("more").cast("int"))).alias("got"))
+        short = params.join(got, "__source", "left").withColumn("short", F.col("target") - F.coalesce("got", F.lit(0)))
+        short = written(short, "short")
+        units = (
+            held.filter((F.col("rate") < limit) & (F.col("__size") > 0) & ~F.col("more"))
+            .groupBy("__source", "__draw")
+            .agg(F.sum("__size").alias("mass"))
+            .join(small_or_not(short.select("__source", "short")), "__source")
+            .withColumn("miss", F.abs(F.col("short") - F.col("mass")))
+            .filter((F.col("miss") < F.col("short")) & (F.lit(nearest) | (F.col("mass") <= F.col("short"))))
+        )
+        best = units.groupBy("__source").agg(F.min_by("__draw", F.struct("miss", "__draw")).alias("flip"))
+        added = F.concat("flips", F.array_compact(F.array("flip")))
+        params = short.drop("got", "short").join(best, "__source", "left").withColumn("flips", added).drop("flip")
+        params = written(params, "mix")
+    return params
+
+
+def _more(limit: float) -> Column:
+    rate = _rate(limit)
+    more = F.col("__draw") - (rate - F.floor(rate)) < F.col("cut")
+    return (rate < limit) & (more | (F.array_contains("flips", F.col("__draw")) & (F.col("__size") > 0)))
 
 
 def plan_mix(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -194,10 +207,7 @@ def plan_mix(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, l
 
 def _copies(limit: float) -> Column:
     rate = _rate(limit)
-    more = F.col("__draw") - (rate - F.floor(rate)) < F.col("cut")
-    flip = F.coalesce((F.col("__draw") == F.col("flip")) & (F.col("__size") > 0), F.lit(False))
-    more = (rate < limit) & (more != flip)
-    return (F.floor(rate) + more.cast("long")).cast("long")
+    return (F.floor(rate) + _more(limit).cast("long")).cast("long")
 
 
 def mix(
@@ -228,7 +238,7 @@ def mix(
 
 def _answer(joined: DataFrame, old: list[str], limit: float) -> DataFrame:
     plain = joined.withColumnsRenamed({c: f"__doc_{i}" for i, c in enumerate(old)})
-    plain = plain.withColumnsRenamed({f"__{c}": c for c in ("words", "target", "mean", "tilt", "cut", "flip")})
+    plain = plain.withColumnsRenamed({f"__{c}": c for c in ("words", "target", "mean", "tilt", "cut", "flips")})
     copies = _copies(limit)
     return plain.select(
         *[F.col(f"__doc_{i}").alias(c) for i, c in enumerate(old)],
