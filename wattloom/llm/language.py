@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 
+from wattloom.llm.sampling import sample
 from wattloom.llm.wordtext import WordTable, chunks, hashed_pieces, letter_words
 
 BUCKETS = 1 << 16
@@ -150,22 +151,11 @@ def label_texts(model: Model, table: WordTable, texts: list[str]):
 
 
 def fit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """Texts and languages to fit on: at most ``FIT_DOCUMENTS`` per language, ``FIT_CHARS`` characters each.
-
-    Which ones is decided by a hash of id and text, thinned out before rows of a language meet.
-    """
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("y"))
-    rows = rows.filter(F.col("t").isNotNull() & F.col("y").isNotNull() & (F.char_length("t") <= FIT_CHARS))
-    rows = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(1), "k", F.xxhash64("t")), F.lit(1 << 40)) / float(1 << 40))
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}  # a row per language
-    texts, langs = [], []
-    for lang in sorted(sizes):
-        share = 3 * FIT_DOCUMENTS / sizes[lang]  # about three times as many as needed, then the first by hash
-        best = rows.filter((F.col("y") == lang) & (F.col("h") <= share)).orderBy("h", "k", "t").limit(FIT_DOCUMENTS)
-        got = [r["t"] for r in best.select("t").collect()]  # bounded by FIT_DOCUMENTS * FIT_CHARS
-        texts += got
-        langs += [lang] * len(got)
-    return texts, langs
+    """Texts and languages to fit on: at most ``FIT_DOCUMENTS`` per language, ``FIT_CHARS`` characters each."""
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    rows = docs.filter(lang.isNotNull() & F.col(id_col).isNotNull() & (F.char_length(text) <= FIT_CHARS))
+    labelled = rows.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("d"), lang.alias("y"))
+    return sample(docs, labelled, FIT_DOCUMENTS, id_col, text_col)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

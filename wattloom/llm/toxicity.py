@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wattloom.llm.common import unused
+from wattloom.llm.sampling import keyed, sample
 from wattloom.llm.wordtext import WordTable, chunks, hashed_pieces, letter_words
 
 WINDOW, STRIDE = 32, 24
@@ -54,8 +55,8 @@ class Network:
             return (r.standard_normal(shape) * scale).astype(np.float32)
 
         return Network(
-            draw(WORD_BUCKETS, VECTOR, scale=0.1),
-            draw(PIECE_BUCKETS, VECTOR, scale=0.2),
+            draw(WORD_BUCKETS, VECTOR, scale=0.01),
+            draw(PIECE_BUCKETS, VECTOR, scale=0.05),
             draw(2, VECTOR, 3 * HIDDEN, scale=0.3),
             draw(2, HIDDEN, 3 * HIDDEN, scale=0.3),
             np.zeros((2, 3 * HIDDEN), np.float32),
@@ -73,8 +74,12 @@ class Network:
 
     def entries(self, words: list[str]) -> np.ndarray:
         """What a word adds to the gates of both directions."""
-        x = self.vectors(words)
-        return np.concatenate([x @ self.enter2[d] + self.bias2[d] for d in (0, 1)], axis=1)
+        out = np.empty((len(words), 6 * HIDDEN), np.float32)
+        for i in range(0, len(words), 4096):
+            x = self.vectors(words[i : i + 4096])
+            for d in (0, 1):
+                out[i : i + 4096, 3 * HIDDEN * d : 3 * HIDDEN * (d + 1)] = x @ self.enter2[d] + self.bias2[d]
+        return out
 
 
 def _forward(net: Network, entry: np.ndarray, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -242,8 +247,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 0, rounds: int = 3, epo
             getattr(net, k)[at] -= 0.05 * total / (np.sqrt(second[k][at]) + 1e-8)
 
     def all_scores() -> np.ndarray:
-        entry = np.concatenate([np.zeros((1, 6 * HIDDEN), np.float32), net.entries(words)]).astype(np.float32)
-        return np.concatenate([_forward(net, entry, windows[i : i + 4096]) for i in range(0, len(windows), 4096)])
+        entry = np.concatenate([np.zeros((1, 6 * HIDDEN), np.float32), net.entries(words)])
+        return np.concatenate([_forward(net, entry, windows[i : i + 2048]) for i in range(0, len(windows), 2048)])
 
     for turn in range(rounds):
         best = top(score)
@@ -288,20 +293,11 @@ def score_texts(net: Network, table: WordTable, texts: list[str]) -> np.ndarray:
 
 def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """Texts and labels to fit on: at most ``FIT_DOCUMENTS`` of each class and ``FIT_CHARS`` characters each, by a
-    hash of the id.  Rows that repeat an id with other labels, or have a null label, are left out."""
-    clean = labels.groupBy(F.col(id_col).alias("__k")).agg(F.min(label_col).alias("__y"), F.max(label_col).alias("__z"))
-    clean = clean.filter((F.col("__y") == F.col("__z")) & F.col("__y").isin(0, 1)).select("__k", "__y")
-    rows = (
-        docs.select(F.col(id_col).alias("__k"), F.col(text_col).cast("string").alias("__t"))
-        .filter(F.char_length("__t") <= FIT_CHARS)
-        .join(clean, "__k")
-    )
-    rows = rows.withColumn("__h", F.xxhash64(F.lit(8), "__k"))
-    out = []
-    for y in (0, 1):
-        best = rows.filter(F.col("__y") == y).orderBy("__h", "__k", "__t").limit(FIT_DOCUMENTS)
-        out += [(r["__t"], y) for r in best.select("__t").collect()]  # bounded by FIT_DOCUMENTS * FIT_CHARS
-    return [t for t, _ in out], [y for _, y in out]
+    hash of id and text.  Rows that repeat an id with other labels, or have a null label, are left out."""
+    clean = labels.groupBy(F.col(id_col).alias("k")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z"))
+    clean = clean.filter((F.col("y") == F.col("z")) & F.col("y").isin(0, 1)).select("k", "y")
+    labelled = keyed(docs, id_col, text_col, FIT_CHARS).join(clean, "k")
+    return sample(docs, labelled, FIT_DOCUMENTS, id_col, text_col)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
