@@ -12,7 +12,7 @@ from tests.conftest import SF
 from wattloom.operators import keys, knn, labels as lab
 from wattloom.operators.counters import counter_steps
 from wattloom.operators.dedup import drop_repeats
-from wattloom.operators.folds import with_folds
+from wattloom.operators.folds import deal_runs, with_folds
 from wattloom.operators.grid import grid_max, grid_sum, on_grid
 from wattloom.operators.metrics import fold_metrics, summary
 
@@ -169,14 +169,28 @@ def test_profile(spark):
     assert got == {("x", "a"): 2, ("x", None): 1, ("y", "1"): 1, ("y", "2"): 2}
 
 
+def test_dealing_by_runs_is_dealing_one_by_one():
+    rng = random.Random(1)
+    for _ in range(2000):
+        folds = rng.randint(2, 5)
+        runs = [(size, rng.randint(1, 25)) for size in sorted(rng.sample(range(1, 40), rng.randint(1, 8)), reverse=True)]
+        got = [order[k % len(order)] for _, first, last, order in deal_runs(runs, folds) for k in range(last - first + 1)]
+        loads, want = [0] * folds, []
+        for size, n in runs:
+            for _ in range(n):
+                want.append(loads.index(min(loads)))
+                loads[want[-1]] += size
+        assert got == want
+
+
 def test_folds(spark):
     rows = [(g, i) for g, n in (("a", 50), ("b", 30), ("c", 30), ("d", 10), ("e", 9), ("f", 1), (None, 3)) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, i int")
-    for ranked in (10_000, 3):
-        out = with_folds(df, "g", 3, max_ranked=ranked)
-        per_group = out.groupBy("g").agg(F.countDistinct("fold").alias("n")).collect()
-        assert all(r["n"] == 1 for r in per_group) and out.count() == len(rows)
-        assert {r["fold"] for r in out.select("fold").distinct().collect()} <= {0, 1, 2}
+    out = with_folds(df, "g", 3)
+    per_group = out.groupBy("g").agg(F.countDistinct("fold").alias("n")).collect()
+    assert all(r["n"] == 1 for r in per_group) and out.count() == len(rows)
+    fold = {r["g"]: r["fold"] for r in out.collect()}
+    assert fold == {"a": 0, "b": 1, "c": 2, "d": 1, "e": 2, None: 2, "f": 1}
     sizes = {r["fold"]: r["n"] for r in with_folds(df, "g", 3).groupBy("fold").agg(F.count("*").alias("n")).collect()}
     assert max(sizes.values()) - min(sizes.values()) <= 10
     assert with_folds(df.filter("g in ('a', 'b')"), "g").select("fold").distinct().count() == 2

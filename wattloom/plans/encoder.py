@@ -109,7 +109,8 @@ class Encoder:
             "col_idx int, col string, idx int, value string",
             "categories",
         )
-        put([(self.use_text, self.text_dim)], "use_text boolean, text_dim int", "meta")
+        name = _model_name(self.text_model)
+        put([(self.use_text, self.text_dim, name)], "use_text boolean, text_dim int, text_model string", "meta")
 
     @staticmethod
     def load(
@@ -118,6 +119,9 @@ class Encoder:
         scaler = spark.read.parquet(f"{path}/scaler").orderBy("idx").collect()
         values = spark.read.parquet(f"{path}/categories").orderBy("col_idx", "idx").collect()
         meta = spark.read.parquet(f"{path}/meta").first()
+        fitted = meta.asDict().get("text_model")
+        if meta["use_text"] and fitted != _model_name(text_model):
+            raise ValueError(f"the encoder was fitted with text model {fitted}, not {_model_name(text_model)}")
         categories: dict[str, list[str]] = {}
         for row in values:
             categories.setdefault(row["col"], []).append(row["value"])
@@ -131,12 +135,15 @@ class Encoder:
 
     @staticmethod
     def load_or_fit(spark: SparkSession, path: str, rows: DataFrame, **fit_args) -> "Encoder":
-        """The saved encoder if there is one, else a new one, saved."""
-        from pyspark.errors import AnalysisException
-
-        try:
+        """The saved encoder if there is anything at ``path``, else a new one, saved; a damaged one is an error."""
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
             return Encoder.load(spark, path, fit_args.get("text_model"))
-        except AnalysisException:
-            encoder = Encoder.fit(rows, **fit_args)
-            encoder.save(spark, path)
-            return encoder
+        encoder = Encoder.fit(rows, **fit_args)
+        encoder.save(spark, path)
+        return encoder
+
+
+def _model_name(text_model: Callable | None) -> str | None:
+    """What an artifact says about the text model it was fitted with; nothing for hashed words."""
+    return None if text_model is None else getattr(text_model, "__qualname__", type(text_model).__name__)

@@ -247,6 +247,17 @@ def group_folds(spark, sf):
     return with_folds(table(spark, sf, "events").select("event_id", "user_id"), "user_id")
 
 
+@query(
+    "group_folds_many",
+    f"""WITH RECURSIVE {folds_sql('lineitem', 'l_orderkey')}
+SELECT fold::INTEGER AS fold, l_orderkey, count(*) AS "rows" FROM lineitem JOIN folds ON g = l_orderkey::VARCHAR GROUP BY 1, 2""",
+)
+def group_folds_many(spark, sf):
+    """As many groups as orders."""
+    folded = with_folds(table(spark, sf, "lineitem").select("l_orderkey"), "l_orderkey")
+    return folded.groupBy("fold", "l_orderkey").agg(F.count("*").alias("rows"))
+
+
 METRICS_SQL = """SELECT fold::INTEGER AS fold, count(*) AS "rows", round(avg(abs(y-p)), 4) AS mae,
   round(1 - sum((y-p)*(y-p)) / (var_pop(y) * count(*)), 4) AS r2 FROM scored GROUP BY fold"""
 

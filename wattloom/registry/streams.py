@@ -38,6 +38,25 @@ def stream_ttl_dedup(spark, sf):
     return spark.read.schema(out.schema).parquet(f"{path}/out").select("event_id", "user_id", "event_type")
 
 
+@query(
+    "stream_ttl_dedup_late",
+    "SELECT user_id, count(*) AS \"rows\" FROM events GROUP BY user_id",
+)
+def stream_ttl_dedup_late(spark, sf):
+    """Every event a key of its own, newest file first: all are late first sightings, and all must come out."""
+    path = scratch_path(spark, "stream-late")
+    late = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    day = F.date_format("ts", "yyyyMMdd")
+    days = sorted((row[0] for row in late.select(day).distinct().collect()), reverse=True)
+    cut = [days[i * len(days) // 4 : (i + 1) * len(days) // 4] for i in range(4)]  # four files, newest days first
+    for part in filter(None, cut):
+        late.filter(day.isin(part)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(late.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    out = drop_repeats_stream(stream, ["event_id"], "ts", ttl=SIX_HOURS)
+    _drain(out, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{path}/out").groupBy("user_id").agg(F.count("*").alias("rows"))
+
+
 def _changes(spark, sf: str) -> DataFrame:
     """(type, kind, ts, object): an object change per event; some are deletions."""
     kind = F.when(F.col("event_type") == "error", "DELETED").otherwise("ADDED")

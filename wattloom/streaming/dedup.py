@@ -13,6 +13,7 @@ from wattloom.functions.quantities import timestamp_seconds
 from wattloom.operators.dedup import TTL_SECONDS
 
 BUCKETS = 256
+KEEP_SECONDS = 86_400.0
 HELPERS = ("__seconds", "__h1", "__h2")
 BUCKET = "__bucket"
 
@@ -29,21 +30,19 @@ def _first_of_cells(batch: pd.DataFrame, tie_break: Sequence[str], ttl: float) -
     return batch.iloc[place[starts]].assign(__high=np.maximum.reduceat(high, starts))
 
 
-def _repeat_filter(ttl: float, tie_break: Sequence[str], columns: Sequence[str]):
+def _repeat_filter(ttl: float, tie_break: Sequence[str], columns: Sequence[str], keep: float):
     """State of a bucket of keys: when each was last seen.  A row passes when that is more than ttl ago.
 
     The rows of a bucket arrive in batches, and each batch is cut down at once to the first
     row and last time of every key and ttl-wide cell (rows in one cell are less than ttl
     apart).  Memory follows the cells of a micro-batch, not the rows of a busy key, and all
     keys of a bucket are handled by one pass over arrays.  A row older than its key's last
-    sighting is a repeat and moves nothing.
+    sighting is a repeat and moves nothing.  Sightings are forgotten once the bucket has seen
+    a time more than ``keep`` later; a row of a forgotten key passes again.
     """
     names = [*columns, *HELPERS, BUCKET]
 
     def filter_bucket(bucket, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()  # no row that may still arrive is within ttl of these sightings
-            return
         heads = []
         for batch in batches:
             batch.columns = names  # computed columns arrive unnamed
@@ -62,19 +61,15 @@ def _repeat_filter(ttl: float, tie_break: Sequence[str], columns: Sequence[str])
         seen = np.array([known.get(k, -np.inf) for k in keys])
         before = np.where(first, -np.inf, np.r_[-np.inf, high[:-1]])
         before = np.maximum(before, np.repeat(seen, np.diff(np.r_[starts, len(rows)])))
-        keep = low - before > ttl
+        passed = low - before > ttl
 
         latest = np.maximum(seen, np.maximum.reduceat(high, starts))
         known.update(zip(keys, latest.tolist()))
-        watermark = state.getCurrentWatermarkMs() / 1000
-        live = [(a, b, t) for (a, b), t in known.items() if t + ttl >= watermark]
-        if live:
-            a, b, t = (np.array(part, dtype=kind) for part, kind in zip(zip(*live), ("i8", "i8", "f8")))
-            state.update((a.tobytes(), b.tobytes(), t.tobytes()))
-            state.setTimeoutTimestamp(max(int((t.max() + ttl) * 1000), int(watermark * 1000)) + 1)
-        elif state.exists:
-            state.remove()
-        yield rows.loc[keep, list(columns)]
+        oldest = max(known.values()) - max(keep, ttl)
+        live = [(a, b, t) for (a, b), t in known.items() if t >= oldest]
+        a, b, t = (np.array(part, dtype=kind) for part, kind in zip(zip(*live), ("i8", "i8", "f8")))
+        state.update((a.tobytes(), b.tobytes(), t.tobytes()))
+        yield rows.loc[passed, list(columns)]
 
     return filter_bucket
 
@@ -85,14 +80,15 @@ def drop_repeats_stream(
     ts: str = "ts",
     tie_break: Sequence[str] = (),
     ttl: float = TTL_SECONDS,
-    delay: str = "10 seconds",
+    keep: float = KEEP_SECONDS,
     exact: bool = True,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Streaming counterpart of ``operators.dedup.drop_repeats``; ``ts`` is a timestamp.
 
-    Rows more than ``delay`` behind the newest are late and dropped by the watermark.  State
-    is kept per bucket of keys (a 128-bit hash stands for a key), so that the cost of a
+    No row is dropped for being late: a key's first sighting passes whenever it arrives, and a
+    row older than its key's last sighting is a repeat.  Sightings are kept for ``keep`` seconds
+    of event time behind the newest one of their bucket.  State is kept per bucket of keys (a 128-bit hash stands for a key), so that the cost of a
     Python call is shared by many keys; ``buckets`` should be a few times the number of
     shuffle partitions and must not change over the life of a checkpoint.
 
@@ -107,11 +103,11 @@ def drop_repeats_stream(
     helpers = dict(zip(HELPERS, (timestamp_seconds(F.col(ts)), *hashes)))
     stream = events.withColumns(
         {**helpers, BUCKET: F.pmod(hashes[0], F.lit(buckets))}
-    ).withWatermark(ts, delay)
+    )
     return stream.groupBy(BUCKET).applyInPandasWithState(
-        _repeat_filter(ttl, tie_break, columns),
+        _repeat_filter(ttl, tie_break, columns, keep),
         outputStructType=events.schema,
         stateStructType="h1 binary, h2 binary, last binary",
         outputMode="append",
-        timeoutConf="EventTimeTimeout",
+        timeoutConf="NoTimeout",
     )

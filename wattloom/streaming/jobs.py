@@ -14,7 +14,7 @@ from wattloom.plans.encoder import Encoder
 from wattloom.plans.model import KnnModel
 from wattloom.plans.score import score_requests
 from wattloom.schemas import REJECT, accepted, validate
-from wattloom.streaming.dedup import drop_repeats_stream
+from wattloom.streaming.dedup import KEEP_SECONDS, drop_repeats_stream
 
 log = logging.getLogger(__name__)
 
@@ -24,7 +24,7 @@ def fresh_events(
     kinds: Sequence[str] | None = ops.TEMPLATE_KINDS,
     namespaces: Sequence[str] | None = None,
     ttl: float = TTL_SECONDS,
-    delay: str = "10 seconds",
+    keep: float = KEEP_SECONDS,
     exact: bool = True,
 ) -> DataFrame:
     """Live events of the wanted kinds and namespaces, repeats dropped before any projection."""
@@ -32,7 +32,7 @@ def fresh_events(
     keyed = ops.allow(keyed, "key_kind", kinds)
     keyed = ops.allow(keyed, "key_namespace", namespaces)
     return drop_repeats_stream(
-        keyed, ops.KEY_COLUMNS, "ts", ("object",), ttl=ttl, delay=delay, exact=exact
+        keyed, ops.KEY_COLUMNS, "ts", ("object",), ttl=ttl, keep=keep, exact=exact
     )
 
 
@@ -70,7 +70,8 @@ def score_events(
 ) -> StreamingQuery:
     """Score each micro-batch into ``path/batch=<id>``; a replayed batch overwrites itself.
 
-    With ``tolerate_failures`` a batch that cannot be scored or written is logged and passed over.
+    With ``tolerate_failures`` a batch that cannot be scored or written is logged, and its rows go
+    to ``path-failed/batch=<id>`` as they are; only if that fails too does the stream stop.
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
@@ -82,7 +83,8 @@ def score_events(
         except Exception:
             if not tolerate_failures:
                 raise
-            log.exception("scoring of batch %s failed", batch_id)
+            log.exception("scoring of batch %s failed; its rows are kept aside", batch_id)
+            batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}-failed/batch={batch_id}")
 
     writer = requests.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
