@@ -20,6 +20,8 @@ SHARE = 1.5  # words of the mix per word of the input
 LIMIT = 2  # most copies of a document, and most words of a source per word it has
 TOLERANCE = 1e-6  # of a target, for the tilts; copies are set to the target itself
 BINS = 4096
+NEAR = 1e-3  # of a target: a source nearer than this is left as it is
+ROUNDS = 8  # most documents of a source whose copies change once more after rounding
 
 # Sums of decimals do not depend on the order of addition, so reruns agree to the last digit.
 _EXACT = "decimal(38,6)"
@@ -123,7 +125,7 @@ def tilts(histogram: DataFrame, sources: DataFrame, limit: float = LIMIT, tolera
 def _cut(sized: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     """Add ``cut``: a document gets a copy more than its whole ones when its draw less its fraction is below.
 
-    Found by two rounds of counting words by cell of that difference.  ``flips`` mend what two documents can.
+    Found by two rounds of counting words by cell of that difference.
     """
     def spread(params: DataFrame) -> DataFrame:
         rate = _rate(limit)
@@ -164,35 +166,50 @@ def _cut(sized: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
 
 
 def _touched(spread, params: DataFrame, limit: float) -> DataFrame:
-    """Add ``flips``: draws of two documents per source that get a copy more, to fill what is missing below the target.
+    """Add ``ups`` and ``downs``: draws of documents that get a copy more or less, to close what the cut left open.
 
-    The first is the largest that fits, the second the nearest to what is left then, if it brings the total nearer.
+    Each round moves one document of every source that is still off: the one that brings it nearest.  What a large
+    source is off after the cut is small against its target already; these rounds serve sources of few documents.
     """
-    params = params.withColumn("flips", F.array().cast("array<double>"))
-    for nearest in (False, True):
-        held = spread(params).withColumn("more", _more(limit))
-        got = held.groupBy("__source").agg(F.sum(F.col("__size") * (F.col("base") + F.col("more").cast("int"))).alias("got"))
-        short = params.join(got, "__source", "left").withColumn("short", F.col("target") - F.coalesce("got", F.lit(0)))
-        short = written(short, "short")
-        units = (
-            held.filter((F.col("rate") < limit) & (F.col("__size") > 0) & ~F.col("more"))
+    none = F.array().cast("array<double>")
+    params = params.withColumns({"ups": none, "downs": none})
+    for _ in range(ROUNDS):
+        held = spread(params).withColumn("copies", _copies(limit))
+        got = held.groupBy("__source").agg(F.sum(F.col("__size") * F.col("copies")).alias("got"))
+        gaps = params.join(got, "__source", "left").withColumn("gap", F.col("target") - F.coalesce("got", F.lit(0)))
+        gaps = written(gaps.drop("got"), "gaps")
+        still = gaps.filter(F.abs("gap") > F.col("target") * NEAR).select("__source", "gap")
+        if still.isEmpty():
+            break
+        moved = F.array_contains("ups", F.col("__draw")) | F.array_contains("downs", F.col("__draw"))
+        free = F.when(F.col("gap") > 0, F.col("copies") + 1 <= limit).otherwise(F.col("copies") > 0)
+        best = (
+            held.filter((F.col("__size") > 0) & ~moved)
+            .join(small_or_not(still), "__source")
+            .filter(free & (F.col("__size") < 2 * F.abs("gap")))
             .groupBy("__source", "__draw")
-            .agg(F.sum("__size").alias("mass"))
-            .join(small_or_not(short.select("__source", "short")), "__source")
-            .withColumn("miss", F.abs(F.col("short") - F.col("mass")))
-            .filter((F.col("miss") < F.col("short")) & (F.lit(nearest) | (F.col("mass") <= F.col("short"))))
+            .agg(F.sum("__size").alias("mass"), F.any_value("gap").alias("gap"))
+            .withColumn("miss", F.abs(F.abs("gap") - F.col("mass")))
+            .filter(F.col("miss") < F.abs("gap"))
+            .groupBy("__source")
+            .agg(F.min_by("__draw", F.struct("miss", "__draw")).alias("move"))
+        )
+        if (best := written(best, "moves")).isEmpty():
+            break
+        up = F.array_compact(F.array(F.when(F.col("gap") > 0, F.col("move"))))
+        down = F.array_compact(F.array(F.when(F.col("gap") <= 0, F.col("move"))))
+        params = gaps.join(best, "__source", "left").withColumns(
+            {"ups": F.concat("ups", up), "downs": F.concat("downs", down)}
         )
-        best = units.groupBy("__source").agg(F.min_by("__draw", F.struct("miss", "__draw")).alias("flip"))
-        added = F.concat("flips", F.array_compact(F.array("flip")))
-        params = short.drop("got", "short").join(best, "__source", "left").withColumn("flips", added).drop("flip")
-        params = written(params, "mix")
+        params = written(params.drop("gap", "move"), "mix")
     return params
 
 
-def _more(limit: float) -> Column:
+def _copies(limit: float) -> Column:
     rate = _rate(limit)
-    more = F.col("__draw") - (rate - F.floor(rate)) < F.col("cut")
-    return (rate < limit) & (more | (F.array_contains("flips", F.col("__draw")) & (F.col("__size") > 0)))
+    more = (rate < limit) & (F.col("__draw") - (rate - F.floor(rate)) < F.col("cut"))
+    moved = [(F.array_contains(c, F.col("__draw")) & (F.col("__size") > 0)).cast("long") for c in ("ups", "downs")]
+    return (F.floor(rate) + more.cast("long") + moved[0] - moved[1]).cast("long")
 
 
 def plan_mix(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -205,11 +222,6 @@ def plan_mix(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, l
     return _cut(sized, tilts(histogram, sources, limit), limit)
 
 
-def _copies(limit: float) -> Column:
-    rate = _rate(limit)
-    return (F.floor(rate) + _more(limit).cast("long")).cast("long")
-
-
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -238,7 +250,7 @@ def mix(
 
 def _answer(joined: DataFrame, old: list[str], limit: float) -> DataFrame:
     plain = joined.withColumnsRenamed({c: f"__doc_{i}" for i, c in enumerate(old)})
-    plain = plain.withColumnsRenamed({f"__{c}": c for c in ("words", "target", "mean", "tilt", "cut", "flips")})
+    plain = plain.withColumnsRenamed({f"__{c}": c for c in ("words", "target", "mean", "tilt", "cut", "ups", "downs")})
     copies = _copies(limit)
     return plain.select(
         *[F.col(f"__doc_{i}").alias(c) for i, c in enumerate(old)],
