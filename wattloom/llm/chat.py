@@ -63,28 +63,29 @@ def format_conversations(
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    rows = turns.select(F.struct("conv_id").alias("conv"), "turn", role.alias("role"), text.alias("text"))
-    ordered = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    ordered = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("tokens", turn_tokens(F.col("text")))
     before = F.sum("tokens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
     rows = rows.withColumns({"n": F.row_number().over(ordered) - 1, "raw": F.floor(before / budget)})
-    rows = rows.withColumn("window", F.dense_rank().over(Window.partitionBy("conv").orderBy("raw")) - 1)
-    own = Window.partitionBy("conv", "window").orderBy(F.desc("n"))
+    rows = rows.withColumn("window", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("raw")) - 1)
+    own = Window.partitionBy("conv_id", "window").orderBy(F.desc("n"))
     rows = rows.withColumn("from_end", F.row_number().over(own))
     head = (F.col("n") == 0) & (F.col("role") == "system")
     repeat = (F.col("from_end") <= history) & (F.col("tokens") <= history_tokens) & ~head
     own_part = F.struct(F.lit(0).alias("step"), F.lit("+").alias("kind"))
     kept = F.array(own_part, F.when(repeat, F.struct(F.lit(1).alias("step"), F.lit("=").alias("kind"))))
     placed = rows.select("*", F.explode(F.array_compact(kept)).alias("as")).select(
-        "conv", (F.col("window") + F.col("as.step")).alias("window"), "n", "as.kind", "role", "text"
+        "conv_id", (F.col("window") + F.col("as.step")).alias("window"), "n", "as.kind", "role", "text"
     )
     piece = F.struct("n", "kind", "role", "text")
-    grouped = placed.groupBy("conv", "window").agg(F.sort_array(F.collect_list(piece)).alias("turns"))
+    grouped = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(piece)).alias("turns"))
     grouped = grouped.filter(F.exists("turns", lambda t: t["kind"] == "+"))
-    systems = rows.filter(head).select(
-        "conv", F.array(F.struct("n", F.lit("=").alias("kind"), "role", "text")).alias("system")
-    )
-    grouped = grouped.join(systems, "conv", "left")
+    # the system turn reaches later windows within the partition of its conversation: no join, no further shuffle
+    first = F.when((F.col("window") == 0) & (F.col("turns")[0]["n"] == 0), F.col("turns")[0])
+    first = F.when(first["role"] == "system", F.array(first.withField("kind", F.lit("="))))
+    earlier = Window.partitionBy("conv_id").orderBy("window").rowsBetween(Window.unboundedPreceding, 0)
+    grouped = grouped.withColumn("system", F.first(first, ignorenulls=True).over(earlier))
     lead = F.when((F.col("window") > 0) & F.col("system").isNotNull(), F.col("system")).otherwise(F.slice("turns", 1, 0))
     written = F.transform(
         F.concat(lead, "turns"),
@@ -94,12 +95,12 @@ def format_conversations(
             ((t["role"] == "assistant") & (t["kind"] == "+")).alias("target"),
         ),
     )
-    whole = grouped.select("conv", "window", F.explode(F.array(written)).alias("parts"))
+    whole = grouped.select("conv_id", "window", F.explode(F.array(written)).alias("parts"))
     lengths = F.transform("parts", lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + len(END))
-    whole = whole.select("conv", "window", "parts", F.explode(F.array(lengths)).alias("lengths"))
+    whole = whole.select("conv_id", "window", "parts", F.explode(F.array(lengths)).alias("lengths"))
     # begin of each part: positions are added up over rows of the window, so long windows stay linear
-    exploded = whole.select("conv", "window", F.posexplode(F.arrays_zip("parts", "lengths")).alias("k", "part"))
-    upto = Window.partitionBy("conv", "window").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    exploded = whole.select("conv_id", "window", F.posexplode(F.arrays_zip("parts", "lengths")).alias("k", "part"))
+    upto = Window.partitionBy("conv_id", "window").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     begin = F.sum("part.lengths").over(upto) - F.col("part.lengths") + F.char_length("part.parts.head")
     exploded = exploded.withColumn("begin", begin)
     string = F.concat("part.parts.head", "part.parts.body", F.lit(END))
@@ -108,54 +109,70 @@ def format_conversations(
         F.struct(F.col("begin"), (F.col("begin") + F.char_length("part.parts.body")).alias("end")),
     )
     pieces = F.sort_array(F.collect_list(F.struct("k", string.alias("s"))))
-    out = exploded.groupBy("conv", "window").agg(
+    out = exploded.groupBy("conv_id", "window").agg(
         F.array_join(F.transform(pieces, lambda p: p["s"]), "").alias("formatted"),
         F.sort_array(F.collect_list(span)).alias("loss"),
     )
-    return out.select(F.col("conv.conv_id").alias("conv_id"), "window", "formatted", "loss")
+    return out
 
 
-def read_turns(windows: DataFrame) -> DataFrame:
-    """``conv_id, n, role, text`` of every turn, each once, from the formatted strings."""
-    parts = windows.select("conv_id", F.explode(F.split("formatted", r"<\|turn\|>")).alias("part")).filter("part <> ''")
-    head, body = F.substring_index("part", TEXT, 1), F.substring_index("part", TEXT, -1)
-    return (
-        parts.select("conv_id", F.split(head, ":", 3).alias("h"), body.alias("body"))
-        .filter(F.col("h")[1] == "+")
-        .select(
-            "conv_id",
-            F.col("h")[0].cast("long").alias("n"),
-            unescaped(F.col("h")[2]).alias("role"),
-            unescaped(F.expr(f"left(body, char_length(body) - {len(END)})")).alias("text"),
+def _turns(formatted: Column) -> Column:
+    """The turns written in a string, in order; those repeated as context have the kind ``=``."""
+
+    def turn(part: Column) -> Column:
+        h, said = F.split(F.substring_index(part, TEXT, 1), ":", 3), F.substring_index(part, TEXT, -1)
+        said = F.left(said, F.char_length(said) - len(END))
+        return F.struct(
+            h[0].cast("long").alias("n"), h[1].alias("kind"), unescaped(h[2]).alias("role"), unescaped(said).alias("text")
         )
+
+    return F.transform(F.filter(F.split(formatted, r"<\|turn\|>"), lambda part: part != ""), turn)
+
+
+def _learned(formatted: Column, loss: Column) -> Column:
+    """The stretches under the loss mask, unescaped."""
+    return F.transform(
+        loss,
+        lambda s: F.struct(
+            s["begin"].alias("begin"),
+            unescaped(F.substring(formatted, s["begin"] + 1, s["end"] - s["begin"])).alias("text"),
+        ),
     )
 
 
+def read_turns(windows: DataFrame) -> DataFrame:
+    """``conv_id, n, role, text`` of every turn, each once, from the formatted strings."""
+    every = windows.select("conv_id", F.explode(_turns(F.col("formatted"))).alias("t")).filter("t.kind = '+'")
+    return every.select("conv_id", "t.n", "t.role", "t.text")
+
+
 def read_loss(windows: DataFrame) -> DataFrame:
     """``conv_id, window, begin, text`` of every stretch under the loss mask, unescaped."""
-    cut = F.substring("formatted", F.col("span.begin") + 1, F.col("span.end") - F.col("span.begin"))
-    return windows.select("conv_id", "window", "formatted", F.explode("loss").alias("span")).select(
-        "conv_id", "window", F.col("span.begin").alias("begin"), unescaped(cut).alias("text")
-    )
+    spans = F.explode(_learned(F.col("formatted"), F.col("loss"))).alias("s")
+    return windows.select("conv_id", "window", spans).select("conv_id", "window", "s.begin", "s.text")
 
 
 def digests(windows: DataFrame) -> DataFrame:
-    """What a conversation's windows hold, read back from them: one row per conversation."""
-    sizes = windows.groupBy(F.struct("conv_id").alias("conv")).agg(F.sum(F.char_length("formatted")).alias("formatted_chars"))
-    line = F.struct("n", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("s"))
-    said = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["s"]), "")
-    turns = read_turns(windows).groupBy(F.struct("conv_id").alias("conv")).agg(
-        F.count(F.lit(1)).alias("n_turns"), F.sha2(said, 256).alias("turns_sha256")
+    """What a conversation's windows hold, read back from them: one row per conversation, in one aggregation."""
+    own = F.filter(_turns(F.col("formatted")), lambda t: t["kind"] == "+")
+    read = windows.select(
+        "conv_id",
+        F.struct(
+            "window",
+            F.transform(own, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))).alias("turns"),
+            F.transform(_learned(F.col("formatted"), F.col("loss")), lambda s: s["text"]).alias("learned"),
+        ).alias("read"),
+        F.char_length("formatted").cast("long").alias("chars"),
     )
-    learned = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("window", "begin", "text"))), lambda x: x["text"]), "")
-    loss = read_loss(windows).groupBy(F.struct("conv_id").alias("conv")).agg(
-        F.sum(F.char_length("text")).alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256")
+    whole = read.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list("read")).alias("reads"), F.sum("chars").alias("formatted_chars")
     )
-    return turns.join(sizes, "conv").join(loss, "conv", "left").select(
-        F.col("conv.conv_id").alias("conv_id"),
-        "n_turns",
-        "turns_sha256",
-        F.coalesce("loss_chars", F.lit(0)).cast("long").alias("loss_chars"),
-        F.coalesce("loss_sha256", F.sha2(F.lit(""), 256)).alias("loss_sha256"),
-        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    said, learned = F.flatten("reads.turns"), F.array_join(F.flatten("reads.learned"), "")
+    return whole.select(
+        "conv_id",
+        F.size(said).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.char_length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        "formatted_chars",
     )
