@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from wattloom.operators import keys, knn, labels as lab
+from wattloom.operators.previous import in_segments, with_previous
 from wattloom.operators.counters import counter_steps
 from wattloom.operators.dedup import drop_repeats
 from wattloom.operators.folds import deal_runs, with_folds
@@ -274,3 +275,32 @@ def test_neighbours_edges(spark, vectors):
         knn.with_neighbours(df, few.filter("false"), 5, "v")
     ranked = knn.neighbour_rows(got, ["id"]).collect()
     assert len(ranked) == 600 and {r["rank"] for r in ranked} == {1, 2}
+
+
+def test_near_copies_keep_their_own_targets(spark):
+    """Vectors that a product cannot tell apart, and one vector written at two lengths."""
+    base = [0.3, 0.4, 0.5, 0.6]
+    near = [0.3, 0.4, 0.5, 0.6001]
+    rows = [(1, near, 100.0), (2, base, 7.0), (3, [3 * x for x in base], 9.0)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, y double")
+    for limits in (knn.Limits(), knn.Limits(0)):
+        entries = knn.training_entries(df, "v", "id", "y", 1)
+        found = knn.with_prediction(knn.with_neighbours(df, entries, 1, "v", limits=limits))
+        got = {r["id"]: r["prediction"] for r in found.collect()}
+        assert got[1] == 100.0 and got[2] == 7.0
+
+
+@pytest.mark.parametrize("kind", ["stray", "one_time", "no_time"])
+def test_previous_row_of_busy_keys(spark, kind):
+    """A time far off, rows that share one time, and missing times; segments never exceed the limit."""
+    time = {"stray": lambda i: 0.0 if i == 7 else 1e9 + i, "one_time": lambda i: 5.0, "no_time": lambda i: None if i % 3 else float(i)}[kind]
+    rows = [("a", time(i), i, float(i * i % 101)) for i in range(1000)] + [(None, float(i), i, 1.0 + i) for i in range(120)] + [("b", 1.0, 1, 3.0)]
+    df = spark.createDataFrame(rows, "k string, t double, id bigint, v double").repartition(5, "id")
+    found = with_previous(df, ["k"], ["t", "id"], {"last": "v"}, max_group_rows=50)
+    got = {(r["k"], r["id"]): r["last"] for r in found.collect()}
+    want, before = {}, {}
+    for k, _, i, v in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0.0, x[2])):
+        want[k, i], before[k] = before.get(k), v
+    assert got == want
+    sizes = in_segments(df, ["k"], ["t", "id"], 50).groupBy("__segment").count()
+    assert sizes.agg(F.max("count")).first()[0] == 50

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wattloom.operators.flatten import flat_rows
 from wattloom.operators.requests import manifest_requests, object_requests
-from wattloom.plans.dataset import join_diagnostics, training_rows
+from wattloom.plans.dataset import join_diagnostics, training_rows, write_training_rows
 from wattloom.plans.encoder import Encoder
 from wattloom.plans.evaluate import cross_validate, score_report
 from wattloom.plans.labels import build_labels, labels_from_samples
@@ -279,3 +279,12 @@ def test_parse_happens_once(spark, tmp_path):
     df.write.parquet(str(tmp_path / "t"))
     plan = accepted(manifest_requests(spark.read.parquet(str(tmp_path / "t"))))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_training_rows_report_when_nothing_joins(spark, tmp_path, caplog):
+    labels = spark.createDataFrame([("n", "Job", "a", 1.0)], "namespace string, workload_kind string, workload_name string, avg_power_w double")
+    features = spark.createDataFrame([("n", "Job", "b", "h", [1.0])], "namespace string, workload_kind string, workload_name string, _spec_hash string, features array<double>")
+    assert write_training_rows(labels, features, str(tmp_path / "none")) == 0
+    assert "no label has features" in caplog.text and "'shared_keys': 0" in caplog.text and "'a'" in caplog.text
+    same = features.withColumn("workload_name", F.lit("a"))
+    assert write_training_rows(labels, same, str(tmp_path / "one")) == 1

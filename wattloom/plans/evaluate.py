@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from wattloom.operators import knn
 from wattloom.operators.folds import N_SPLITS, with_folds
 from wattloom.operators.metrics import fold_metrics, summary
+from wattloom.operators.labels import finite
 from wattloom.plans.model import row_id, usable_rows
+from wattloom.session import written
 
 
 def cross_validate(
@@ -20,8 +22,11 @@ def cross_validate(
     n_splits: int = N_SPLITS,
     limits: knn.Limits = knn.Limits(),
 ) -> DataFrame:
-    """(fold, rows, mae, r2).  All folds in one job: a row's neighbours come from other folds."""
-    rows = usable_rows(rows, target)
+    """(fold, rows, mae, r2).  All folds in one job: a row's neighbours come from other folds.
+
+    The rows are computed once and written to the shared folder, since folds, entries and queries all read them.
+    """
+    rows = usable_rows(written(finite(rows, target), "evaluation-rows"), target)
     rows = rows.withColumn("__id", F.col(id) if id else row_id(rows))
     folded = with_folds(rows, group, n_splits, "fold")
     entries = knn.training_entries(folded, features, "__id", target, k, exclude="fold")

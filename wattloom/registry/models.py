@@ -190,7 +190,28 @@ def knn_neighbours(spark, sf):
     rows = _embeddings(spark, sf)
     entries = knn.training_entries(rows, "embedding", "vec_id", "y", 3)
     found = knn.neighbour_rows(knn.with_neighbours(rows, entries, 3, "embedding"), ["vec_id"])
-    return found.withColumn("distance", F.round("distance", 6))
+    return found.withColumn("distance", F.round(F.round("distance", 9), 6))  # in two steps, as in the SQL
+
+
+@query(
+    "knn_close_vectors",
+    """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label::DOUBLE AS y FROM embeddings),
+near AS (SELECT id, list_concat([v[1] + 0.0001::FLOAT::DOUBLE], v[2:])::FLOAT[]::DOUBLE[] AS v FROM e),
+t AS (SELECT id * 2 + 1 AS id, v, y FROM e UNION ALL SELECT n.id * 2, n.v, -1 FROM near n),
+u AS (SELECT id, y, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM t),
+q AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e)
+SELECT q.id AS vec_id, u.id AS id, u.y AS y FROM q, u
+QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, u.v), u.id) = 1""",
+)
+def knn_close_vectors(spark, sf):
+    """Every vector next to a near copy with a smaller id: the nearest entry is the vector itself."""
+    rows = _embeddings(spark, sf)
+    moved = F.array_insert(F.slice("v", 2, F.size("v")), 1, (F.col("v")[0].cast("double") + F.lit(0.0001).cast("float").cast("double")).cast("float"))
+    own = rows.select((F.col("vec_id") * 2 + 1).alias("id"), F.col("embedding").cast("array<float>").alias("v"), "y")
+    copies = own.select((F.col("id") - 1).alias("id"), moved.alias("v"), F.lit(-1.0).alias("y"))
+    entries = knn.training_entries(own.unionByName(copies), "v", "id", "y", 1)
+    found = knn.neighbour_rows(knn.with_neighbours(rows, entries, 1, "embedding"), ["vec_id"])
+    return found.select("vec_id", "id", "y")
 
 
 @query(

@@ -37,6 +37,23 @@ def counter_step_energy_split(spark, sf):
     return _steps(spark, sf, max_group_rows=25)
 
 
+@query(
+    "counter_step_energy_outlier",
+    f"""WITH {EV}, o AS (SELECT event_id, user_id, value,
+  CASE WHEN event_id % 77 = 5 THEN NULL WHEN event_id % 100 = 0 OR user_id % 10 = 0 THEN 0 ELSE t END AS t FROM ev),
+w AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY t NULLS FIRST, event_id) AS p FROM o)
+SELECT event_id, user_id, round(CASE WHEN p IS NOT NULL THEN greatest(value-p, 0) END, 6) AS energy_step_j FROM w""",
+)
+def counter_step_energy_outlier(spark, sf):
+    """Times far off, times that are missing and keys whose rows share one time, with every busy key cut."""
+    off = F.when(F.col("event_id") % 77 == 5, F.lit(None)).when(
+        (F.col("event_id") % 100 == 0) | (F.col("user_id") % 10 == 0), F.lit(0.0)
+    )
+    df = events(spark, sf).withColumn("t", off.otherwise(F.col("t"))).select("event_id", "user_id", "t", "value")
+    steps = counter_steps(df, ["user_id"], ["t", "event_id"], max_group_rows=25)
+    return steps.select("event_id", "user_id", r("energy_step_j"))
+
+
 @query(
     "label_job_rollup",
     f"""WITH {EV}, w AS (
