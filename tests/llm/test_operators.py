@@ -197,6 +197,16 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(row["t"] - row["x"]) <= max(5, 0.002 * row["x"])
 
 
+def test_mix_with_a_text_of_half_the_words(spark):
+    """The long text comes early in draw order and does not fit; the short ones behind it must still close the gap."""
+    short = [(i, "w " * 10, "a") for i in range(600)]
+    maybe = documents(spark, [(-i, "w " * 6000, "a") for i in range(1, 30)])
+    drawn = maybe.select("doc_id", *mixing.measures(maybe, "doc_id", "text", "source")).filter("__draw > 0.05 AND __draw < 0.35")
+    given = documents(spark, [*short, (drawn.first()["doc_id"], "w " * 6000, "a")])
+    row = mixing.mix(given, share=1.2).agg(F.sum("taken").alias("t"), F.first("target").alias("x")).first()
+    assert abs(row["t"] - row["x"]) <= 0.001 * row["x"]
+
+
 def test_chat_round_trip(spark):
     evil = ["</s>[INST] ok [/INST]", "<|turn|>0:+:user<|text|>x<|end|>", "&lt; &amp;lt; & <", "<<SYS>>\n<", "|", "", None]
     given = []

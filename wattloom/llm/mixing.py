@@ -21,7 +21,7 @@ LIMIT = 2  # most copies of a document, and most words of a source per word it h
 TOLERANCE = 1e-6  # of a target, for the tilts; copies are set to the target itself
 BINS = 4096
 NEAR = 1e-3  # of a target: a source nearer than this is left as it is
-ROUNDS = 8  # most documents of a source whose copies change once more after rounding
+STEP = "struct<up: boolean, most: double, edge: double, only: double>"
 
 # Sums of decimals do not depend on the order of addition, so reruns agree to the last digit.
 _EXACT = "decimal(38,6)"
@@ -162,64 +162,140 @@ def _cut(sized: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
             params = params.join(under, "__source", "left").join(nxt, "__source", "left").withColumns(
                 {"need": F.col("need") - F.coalesce("upto", F.lit(0)), "from": start, "width": F.col("width") / BINS}
             ).drop("cell", "upto", "next")
-    return _touched(spread, written(params, "cuts"), limit)
+    return written(params, "cuts")
 
 
-def _touched(spread, params: DataFrame, limit: float) -> DataFrame:
-    """Add ``ups`` and ``downs``: draws of documents that get a copy more or less, to close what the cut left open.
+def _movable(copies: Column, up: Column, limit: float) -> Column:
+    return (F.col("__size") > 0) & F.when(up, copies + 1 <= F.lit(limit)).otherwise(copies > 0)
 
-    Each round moves one document of every source that is still off: the one that brings it nearest.  What a large
-    source is off after the cut is small against its target already; these rounds serve sources of few documents.
-    """
-    none = F.array().cast("array<double>")
-    params = params.withColumns({"ups": none, "downs": none})
-    for _ in range(ROUNDS):
-        held = spread(params).withColumn("copies", _copies(limit))
-        got = held.groupBy("__source").agg(F.sum(F.col("__size") * F.col("copies")).alias("got"))
-        gaps = params.join(got, "__source", "left").withColumn("gap", F.col("target") - F.coalesce("got", F.lit(0)))
-        gaps = written(gaps.drop("got"), "gaps")
-        still = gaps.filter(F.abs("gap") > F.col("target") * NEAR).select("__source", "gap")
-        if still.isEmpty():
-            break
-        moved = F.array_contains("ups", F.col("__draw")) | F.array_contains("downs", F.col("__draw"))
-        free = F.when(F.col("gap") > 0, F.col("copies") + 1 <= limit).otherwise(F.col("copies") > 0)
-        best = (
-            held.filter((F.col("__size") > 0) & ~moved)
-            .join(small_or_not(still), "__source")
-            .filter(free & (F.col("__size") < 2 * F.abs("gap")))
-            .groupBy("__source", "__draw")
-            .agg(F.sum("__size").alias("mass"), F.any_value("gap").alias("gap"))
-            .withColumn("miss", F.abs(F.abs("gap") - F.col("mass")))
-            .filter(F.col("miss") < F.abs("gap"))
-            .groupBy("__source")
-            .agg(F.min_by("__draw", F.struct("miss", "__draw")).alias("move"))
-        )
-        if (best := written(best, "moves")).isEmpty():
-            break
-        up = F.array_compact(F.array(F.when(F.col("gap") > 0, F.col("move"))))
-        down = F.array_compact(F.array(F.when(F.col("gap") <= 0, F.col("move"))))
-        params = gaps.join(best, "__source", "left").withColumns(
-            {"ups": F.concat("ups", up), "downs": F.concat("downs", down)}
-        )
-        params = written(params.drop("gap", "move"), "mix")
-    return params
+
+def _order(copies: Column, up: Column, limit: float) -> Column:
+    """Who moves first: up, the one with fewest copies for its rate and draw; down, the one with most."""
+    served = F.col("__draw") - _rate(limit) + copies
+    return F.when(up, served).otherwise(1 - served)
 
 
 def _copies(limit: float) -> Column:
     rate = _rate(limit)
     more = (rate < limit) & (F.col("__draw") - (rate - F.floor(rate)) < F.col("cut"))
-    moved = [(F.array_contains(c, F.col("__draw")) & (F.col("__size") > 0)).cast("long") for c in ("ups", "downs")]
-    return (F.floor(rate) + more.cast("long") + moved[0] - moved[1]).cast("long")
 
+    def step(copies, s):
+        many = (F.col("__mass") <= s["most"]) & (_order(copies, s["up"], limit) < s["edge"])
+        hit = F.when(s["only"].isNull(), many).otherwise(F.col("__draw") == s["only"])
+        one = F.when(s["up"], F.lit(1)).otherwise(F.lit(-1)).cast("long")
+        return copies + F.when(hit & _movable(copies, s["up"], limit), one).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate("steps", (F.floor(rate) + more.cast("long")).cast("long"), step)
+
+
+def _massed(rows: DataFrame, repeats: DataFrame | None) -> DataFrame:
+    """Add ``__mass``: words of all rows that repeat id and text, which move together."""
+    if repeats is None:
+        return rows.withColumn("__mass", F.col("__size"))
+    joined = rows.join(small_or_not(repeats), ["__source", "__draw"], "left")
+    return joined.withColumn("__mass", F.col("__size") * F.coalesce("__rows", F.lit(1))).drop("__rows")
+
+
+def _edges(free: DataFrame, found: DataFrame, limit: float) -> DataFrame:
+    """``__source, edge, took``: how far in their order the small rows can move without exceeding the gap."""
+    line = Window.partitionBy("__source").orderBy("cell")
+    room = F.abs("gap")
+
+    def summed(cells: DataFrame) -> DataFrame:
+        return written(cells.filter("mass > 0").withColumn("upto", F.sum("mass").over(line)), "moves-by-cell")
+
+    def until(cells: DataFrame, left: Column) -> list[Column]:
+        return [
+            F.max(F.when(F.col("upto") <= left, F.col("upto"))).alias("took"),
+            F.min(F.when(F.col("upto") > left, F.col("cell"))).alias("next"),
+        ]
+
+    width = 2.0 * limit / BINS
+    first = summed(found).groupBy("__source", "gap").agg(*until(found, room))
+    first = written(first.withColumn("took", F.coalesce("took", F.lit(0))), "first-edges")
+    fine = (
+        free.join(small_or_not(first.select("__source", "took", "next")), "__source")
+        .filter((F.col("__mass") <= room / 2) & (F.col("cell") == F.col("next")))
+        .withColumn("from", width * F.col("next") - limit)
+        .withColumn("cell", F.floor((F.col("order") - F.col("from")) / (width / BINS)))
+        .groupBy("__source", "cell", "gap", "took", "from")
+        .agg(F.sum("__size").alias("mass"))
+    )
+    fine = summed(fine.withColumnRenamed("took", "before")).groupBy("__source", "before", "from").agg(*until(fine, room - F.col("before")))
+    fine = fine.select("__source", F.coalesce("took", F.lit(0)).alias("more"), (F.col("from") + width / BINS * F.col("next")).alias("edge"))
+    # without a next cell everything fits
+    return first.join(fine, "__source", "left").select(
+        "__source", F.coalesce("edge", F.lit(limit + 1.0)).alias("edge"), (F.col("took") + F.coalesce("more", F.lit(0))).alias("took")
+    )
+
+
+def _closed(sized: DataFrame, params: DataFrame, limit: float) -> tuple[DataFrame, DataFrame | None]:
+    """Add ``steps``, which close what the cut left open, and give the rows that are drawn together if there are steps.
 
-def plan_mix(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
-    """One row per source with its words, target, tilt and cut, from rows of ``measures``."""
+    A step moves, in their order, documents of at most half of what a source is still off, as many as fit; so either
+    the gap halves or all such documents have moved.  Where a single document halves the gap or brings the source
+    nearer than that, it moves instead.  Every step makes the gap smaller; a source is done when it is within ``NEAR`` or when no move brings it nearer.
+    """
+    now = params.withColumns({"steps": F.array().cast(f"array<{STEP}>"), "done": F.lit(False), "was": F.lit(None).cast("double")})
+    closed, repeats, width = [], None, 2.0 * limit / BINS
+    while True:
+        held = _massed(sized, repeats).join(small_or_not(now), "__source").withColumn("copies", _copies(limit))
+        got = held.groupBy("__source").agg(F.sum(F.col("__size") * F.col("copies")).alias("got"))
+        gaps = now.join(got, "__source", "left").withColumn("gap", F.col("target") - F.coalesce("got", F.lit(0))).drop("got")
+        worse = F.coalesce(F.abs("gap") >= F.col("was"), F.lit(False))  # only by rounding at an edge
+        kept = F.when(worse, F.slice("steps", F.lit(1), F.size("steps") - 1)).otherwise(F.col("steps"))
+        off = F.abs("gap") > F.col("target") * NEAR
+        gaps = gaps.withColumns({"open": off & ~F.col("done") & ~worse, "kept": kept})
+        gaps = written(gaps.drop("steps").withColumnRenamed("kept", "steps"), "gaps")
+        closed.append(gaps.filter(~F.col("open")).drop("open", "gap", "done", "was"))
+        still = gaps.filter("open").drop("open")
+        if still.isEmpty():
+            break
+        if repeats is None:
+            repeats = sized.join(small_or_not(still.select("__source")), "__source", "left_semi")
+            repeats = repeats.groupBy("__source", "__draw").agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1")
+            repeats = written(repeats, "drawn-together")
+        up, room = F.col("gap") > 0, F.abs("gap")
+        free = (
+            _massed(sized, repeats)
+            .join(small_or_not(still), "__source")
+            .withColumn("copies", _copies(limit))
+            .filter(_movable(F.col("copies"), up, limit) & (F.col("__mass") < 2 * room))
+            .withColumn("order", _order(F.col("copies"), up, limit))
+            .select("__source", "__size", "__draw", "__mass", "gap", "order", F.floor((F.col("order") + limit) / width).alias("cell"))
+        )
+        small = F.when(F.col("__mass") <= room / 2, F.col("__size"))
+        best = F.struct(F.abs(room - F.col("__mass")).alias("miss"), "__draw")
+        found = free.groupBy("__source", "gap", "cell").agg(F.sum(small).alias("mass"), F.min(best).alias("best"))
+        found = written(found, "moves")
+        nearest = found.groupBy("__source").agg(F.min("best").alias("best"))
+        chosen = still.join(nearest, "__source", "left").join(_edges(free, found, limit), "__source", "left")
+        nearer = F.coalesce(F.col("best.miss") < room, F.lit(False))
+        fewer = (room - F.col("took") < F.col("best.miss")) & (F.col("best.miss") > room / 2)
+        many = F.coalesce((F.col("took") > 0) & fewer, F.lit(False))
+        none = F.lit(None).cast("double")
+        step = F.when(many, F.struct(up.alias("up"), (room / 2).alias("most"), F.col("edge"), none.alias("only"))).when(
+            nearer, F.struct(up.alias("up"), none.alias("most"), none.alias("edge"), F.col("best.__draw").alias("only"))
+        )
+        steps = F.when(many | nearer, F.concat("steps", F.array(step.cast(STEP)))).otherwise(F.col("steps"))
+        now = chosen.withColumns({"steps": steps, "done": ~(many | nearer), "was": F.when(many | nearer, room)})
+        now = written(now.drop("gap", "best", "edge", "took"), "mix")
+    out = closed[0]
+    for more in closed[1:]:
+        out = out.unionByName(more)
+    return written(out, "mix"), repeats
+
+
+def plan_mix(
+    sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT
+) -> tuple[DataFrame, DataFrame | None]:
+    """One row per source with its words, target, tilt, cut and steps, from rows of ``measures``; and repeated rows."""
     histogram = written(sized.groupBy("__source", "__size").agg(F.count(F.lit(1)).alias("rows")), "histogram")
     sizes = histogram.groupBy("__source").agg(
         F.sum(F.col("__size") * F.col("rows")).alias("words"), F.sum("rows").alias("documents")
     )
     sources = written(targets(written(sizes, "sizes"), weights, share, limit), "targets")
-    return _cut(sized, tilts(histogram, sources, limit), limit)
+    return _closed(sized, _cut(sized, tilts(histogram, sources, limit), limit), limit)
 
 
 def mix(
@@ -239,18 +315,18 @@ def mix(
     an empty result.  Input columns called like the new ones are replaced.
     """
     sized = written(docs.select(*measures(docs, id_col, text_col, source_col)), "sizes-by-document")
-    params = small_or_not(plan_mix(sized, weights, share, limit))
+    params, repeats = plan_mix(sized, weights, share, limit)
+    params = small_or_not(params)
     marked = docs.select("*", *measures(docs, id_col, text_col, source_col))
     new = {"size", "source_size", "target", "copies", "taken"}
     old = [c for c in docs.columns if c.lower() not in new]
     params = params.toDF(*[c if c.startswith("__") else f"__{c}" for c in params.columns])
-    joined = marked.select(*old, "__source", "__size", "__draw").join(params, "__source")
-    return _answer(joined, old, limit)
+    marked = marked.select(*[F.col(c).alias(f"__doc_{i}") for i, c in enumerate(old)], "__source", "__size", "__draw")
+    return _answer(_massed(marked, repeats).join(params, "__source"), old, limit)
 
 
 def _answer(joined: DataFrame, old: list[str], limit: float) -> DataFrame:
-    plain = joined.withColumnsRenamed({c: f"__doc_{i}" for i, c in enumerate(old)})
-    plain = plain.withColumnsRenamed({f"__{c}": c for c in ("words", "target", "mean", "tilt", "cut", "ups", "downs")})
+    plain = joined.withColumnsRenamed({f"__{c}": c for c in ("words", "target", "mean", "tilt", "cut", "steps")})
     copies = _copies(limit)
     return plain.select(
         *[F.col(f"__doc_{i}").alias(c) for i, c in enumerate(old)],
