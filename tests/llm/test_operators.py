@@ -293,6 +293,36 @@ def test_token_counts(spark, docs, none):
     assert tokens.token_counts(none, tokens.Automaton(starts, rests)).count() == 0
 
 
+def test_token_counts_of_marked_words(spark):
+    """Greedy matching over the marked string with the full piece list, letters without piece by their bytes."""
+    pieces, by_bytes = tokens._plain_pieces(tokens.VOCABULARY)
+    every, longest = set(pieces), max(map(len, pieces))
+
+    def plain(word):
+        text, at, n = tokens.MARK + word, 0, 0
+        while at < len(text):
+            end = next((e for e in range(min(len(text), at + longest), at, -1) if text[at:e] in every), None)
+            n, at = (n + 1, end) if end else (n + len(text[at].encode()), at + 1)
+        return n
+
+    assert by_bytes
+    given = ["123", "2024", "中文字", "漢字かな", "ภาษาไทย", "हिन्दी", "한국어", "𐍈x𐍈", "x▁▁y▁", "word", "Über-straße9", "¿qué?", "😀😀a"]
+    made = tokens.marked_automaton()
+    assert [made.count(w) for w in given] == [plain(w) for w in given]
+    assert made.count("123") == 4
+    out = tokens.token_counts(documents(spark, [(1, " ".join(given), "a")]), made).first()
+    assert (out["n_words"], out["n_tokens"], out["n_unknown"]) == (len(given), sum(map(plain, given)), 0)
+    r = random.Random(8)
+    for _ in range(300):
+        own = {"".join(r.choice("ab▁") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 6))}
+        every, longest = own, 4
+        small = tokens.Automaton.of_marked(own, True)
+        for _ in range(20):
+            word = "".join(r.choice("abcé") for _ in range(r.randint(1, 9)))
+            if tokens.MARK in "".join(own):
+                assert small.count(word) == plain(word), (own, word)
+
+
 def best_path(scores, penalty):
     """Viterbi, word by word, for one text."""
     k = scores.shape[1]

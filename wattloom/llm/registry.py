@@ -167,8 +167,7 @@ def op1(spark, sf_dir):
 
 @query("op2_token_counts")
 def op2(spark, sf_dir):
-    automaton = tokens.Automaton(*tokens.piece_vocabulary())
-    return tokens.token_counts(table(spark, sf_dir, "documents"), automaton)
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.marked_automaton())
 
 
 _START = 1_704_067_200  # 2024-01-01
