@@ -260,6 +260,19 @@ def test_url_lists(spark):
     assert urllists.judge(captures.limit(0), entries).count() == 0
 
 
+def test_url_lists_with_capitals_in_the_path(spark):
+    captures = spark.createDataFrame(
+        [(1, "http://Host.org/Files/x", 9), (2, "http://host.org/files/x", 9), (3, "http://host.org/Other", 9)],
+        "id long, url string, fetched long",
+    )
+    entries = spark.createDataFrame(
+        [("l", False, "HOST.org/Files", True, 0), ("m", True, "host.org/Other", True, 0), ("l", False, "Host.ORG", False, 0)],
+        "list_name string, allow boolean, pattern string, added boolean, at long",
+    )
+    out = rows(urllists.judge(captures, entries), "id", "blocked", "list_name", "pattern")
+    assert out == [(1, True, "l", "host.org/Files"), (2, False, None, None), (3, False, "m", "host.org/Other")]
+
+
 def greedy(word, starts, rests):
     at = n = 0
     while at < len(word):

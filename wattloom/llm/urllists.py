@@ -27,15 +27,21 @@ def patterns_of(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(domains, paths))
 
 
+def pattern_of(entry: Column) -> Column:
+    """An entry's pattern: host lower-cased, path as it stands, like ``patterns_of``."""
+    host = F.regexp_extract(entry, "^[^/]*", 0)
+    return F.concat(F.lower(host), F.substr(entry, F.char_length(host) + 1))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals ``list_name, allow, pattern, start, stop`` from dated entries.
 
     ``entries``: ``list_name, allow, pattern, added, at`` (seconds).  An entry holds from its time to the next entry
     of its list and pattern; ``added = false`` ends it.  Of entries at the same time a removal wins.  Entries with a
-    null pattern or time, or a null ``added``, are ignored.
+    null pattern or time, or a null ``added``, are ignored.  Case counts in a pattern's path, not in its host.
     """
     known = entries.filter(F.col("pattern").isNotNull() & F.col("at").isNotNull() & F.col("added").isNotNull())
-    known = known.groupBy("list_name", "allow", F.lower("pattern").alias("pattern"), "at").agg(F.min("added").alias("added"))
+    known = known.groupBy("list_name", "allow", pattern_of(F.col("pattern")).alias("pattern"), "at").agg(F.min("added").alias("added"))
     line = Window.partitionBy("list_name", "allow", "pattern").orderBy("at")
     return (
         known.withColumn("stop", F.lead("at").over(line))
