@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,42 @@ def test_late_first_sightings_come_out(spark, tmp_path):
     assert sorted(r["id"] for r in out.collect()) == [0, 1, 2, 3, 4, 6]
 
 
+def test_one_far_future_event_forgets_nothing(spark, tmp_path):
+    """Keys of one bucket, a stray time a year ahead, then repeats of the other keys in later micro-batches."""
+    src = tmp_path / "in"
+    src.mkdir()
+    put(spark, [{"id": 0, "k": "a", "ts": iso(100)}, {"id": 1, "k": "b", "ts": iso(101)}], src, 0)
+    put(spark, [{"id": 2, "k": "stray", "ts": iso(100).replace("2024", "2025")}], src, 1)
+    for n in range(2, 5):
+        put(spark, [{"id": 10 * n, "k": "a", "ts": iso(100 + n)}, {"id": 10 * n + 1, "k": "b", "ts": iso(101 + n)}], src, n)
+    out = drain(drop_repeats_stream(stream(spark, src), ["k"], "ts", ["id"], buckets=1), tmp_path)
+    assert sorted(r["id"] for r in out.collect()) == [0, 1, 2]
+
+
+def test_old_sightings_are_forgotten():
+    """State follows the keys of a stretch of event time, with strays ahead among them, and old keys can still come in."""
+    from wattloom.streaming.dedup import BUCKET, HELPERS, _repeat_filter
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    step, state = _repeat_filter(10.0, (), ["id"], 100.0), State()
+
+    def passed(rows):
+        batch = pd.DataFrame([(n, float(t), k, k, 0) for n, (k, t) in enumerate(rows)], columns=["id", *HELPERS, BUCKET])
+        return len(next(step((0,), iter([batch]), state)))
+
+    for n in range(50):
+        assert passed([(n * 100 + i, n * 100 + i) for i in range(100)] + [(-1 - n, 1e9)]) == 101
+    assert len(state.get[0]) // 8 < 500
+    for n in range(20):  # a replay of old data
+        assert passed([(10**6 + n * 10 + i, i) for i in range(10)]) == 10
+    assert passed([(10**6 + n, n % 10 + 1) for n in range(130, 200)]) == 0
+
+
 def test_restart_keeps_state(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

@@ -14,6 +14,7 @@ from wattloom.operators.dedup import TTL_SECONDS
 
 BUCKETS = 256
 KEEP_SECONDS = 86_400.0
+RECENT = 64  # sightings of a bucket that tell how far its events have come, and that stay
 HELPERS = ("__seconds", "__h1", "__h2")
 BUCKET = "__bucket"
 
@@ -37,8 +38,10 @@ def _repeat_filter(ttl: float, tie_break: Sequence[str], columns: Sequence[str],
     row and last time of every key and ttl-wide cell (rows in one cell are less than ttl
     apart).  Memory follows the cells of a micro-batch, not the rows of a busy key, and all
     keys of a bucket are handled by one pass over arrays.  A row older than its key's last
-    sighting is a repeat and moves nothing.  Sightings are forgotten once the bucket has seen
-    a time more than ``keep`` later; a row of a forgotten key passes again.
+    sighting is a repeat and moves nothing.  The state is in the order in which keys came
+    last.  The last ``RECENT`` of them always stay, and the lower quartile of their times is
+    how far the bucket has come, so that a few stray times do not matter; sightings more
+    than ``keep`` before that are forgotten, and a row of a forgotten key passes again.
     """
     names = [*columns, *HELPERS, BUCKET]
 
@@ -64,9 +67,13 @@ def _repeat_filter(ttl: float, tie_break: Sequence[str], columns: Sequence[str],
         passed = low - before > ttl
 
         latest = np.maximum(seen, np.maximum.reduceat(high, starts))
-        known.update(zip(keys, latest.tolist()))
-        oldest = max(known.values()) - max(keep, ttl)
-        live = [(a, b, t) for (a, b), t in known.items() if t >= oldest]
+        for k, t in zip(keys, latest.tolist()):
+            known.pop(k, None)  # to the end
+            known[k] = t
+        recent = sorted(list(known.values())[-RECENT:])
+        oldest = recent[(len(recent) - 1) // 4] - max(keep, ttl)
+        sure = len(known) - RECENT
+        live = [(a, b, t) for n, ((a, b), t) in enumerate(known.items()) if n >= sure or t >= oldest]
         a, b, t = (np.array(part, dtype=kind) for part, kind in zip(zip(*live), ("i8", "i8", "f8")))
         state.update((a.tobytes(), b.tobytes(), t.tobytes()))
         yield rows.loc[passed, list(columns)]
@@ -88,7 +95,7 @@ def drop_repeats_stream(
 
     No row is dropped for being late: a key's first sighting passes whenever it arrives, and a
     row older than its key's last sighting is a repeat.  Sightings are kept for ``keep`` seconds
-    of event time behind the newest one of their bucket.  State is kept per bucket of keys (a 128-bit hash stands for a key), so that the cost of a
+    of event time behind the lower quartile of the last ``RECENT`` keys of their bucket.  State is kept per bucket of keys (a 128-bit hash stands for a key), so that the cost of a
     Python call is shared by many keys; ``buckets`` should be a few times the number of
     shuffle partitions and must not change over the life of a checkpoint.
 
