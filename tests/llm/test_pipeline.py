@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_queries_and_sql():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES and set(SQL) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES and set(SQL) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES][2] == "near_dedup"
 
 

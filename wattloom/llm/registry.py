@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from wattloom.llm import chat, language, tokens, toxicity, urllists
+from wattloom.llm import chat, language, sharding, tokens, toxicity, urllists
+from wattloom.llm.common import text_of
 from wattloom.llm.decontam import contamination
 from wattloom.llm.exact_dedup import exact_duplicates
 from wattloom.llm.line_dedup import drop_repeated_lines
@@ -170,6 +171,43 @@ def op2(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.marked_automaton())
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text, byte by byte; needs the table ``crc`` of CRC_TABLE."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST(concat('0x', x) AS BIGINT))"
+    step = "xor(c >> 8, steps[CAST(xor(c, b) & 255 AS INTEGER) + 1])"
+    return f"xor(list_reduce({codes}, lambda c, b: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+CRC_TABLE = """bits(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS steps FROM bits WHERE k = 8)"""
+
+
+@query(
+    "op11_sharding",
+    f"""WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32
+  FROM documents, crc),
+r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY md5(concat('{sharding.SEED}:', doc_id)), doc_id) - 0.5::DOUBLE)
+  / count(*) OVER (PARTITION BY source) AS share FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY share, source NULLS LAST) - 1 AS place, count(*) OVER () AS total FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST((place * {sharding.SHARDS}) // total AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY (place * {sharding.SHARDS}) // total ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM p""",
+)
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "source",
+        (F.octet_length(text_of("text")) + 8).cast("long").alias("size"),
+        F.crc32(text_of("text")).alias("text_crc32"),
+    )
+    placed = sharding.assign_shards(docs)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 _START = 1_704_067_200  # 2024-01-01
 _YEAR = 365 * 86_400
 _FETCHED = f"CAST({_START} + (page_id * 7919) % {_YEAR} AS BIGINT)"
