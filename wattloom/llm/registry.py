@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from wattloom.llm import chat, language, sharding, tokens, toxicity, urllists
+from wattloom.llm import chat, language, sharding, spelling, tokens, toxicity, urllists
 from wattloom.llm.common import text_of
 from wattloom.llm.decontam import contamination
 from wattloom.llm.exact_dedup import exact_duplicates
@@ -208,6 +208,34 @@ def op11(spark, sf_dir):
     )
 
 
+@query(
+    "op12_spelling",
+    f"""WITH RECURSIVE {CRC_TABLE},
+o AS (SELECT doc_id, unnest(regexp_extract_all({LOW}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n FROM o GROUP BY doc_id, run),
+h AS (SELECT run, n, {crc32_sql("concat(doc_id, ':', run)")} AS h FROM u, crc WHERE doc_id IS NOT NULL
+  UNION ALL SELECT run, n, 1 FROM u WHERE doc_id IS NULL),
+c AS (SELECT CASE WHEN h % {spelling.DROP_EVERY} <> 0 THEN run
+    ELSE concat(run[:CAST(h % length(run) AS BIGINT)], run[CAST(h % length(run) AS BIGINT) + 2:]) END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= {spelling.MIN_LENGTH}
+  GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+k AS (SELECT word, n, i, concat(word[:i], word[i + 2:]) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+e AS (SELECT a.word, b.word AS other, b.n FROM k a JOIN k b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    AND length(a.word) = length(b.word)
+  UNION SELECT a.word, b.word, b.n FROM k a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM k a JOIN w b ON a.rest = b.word),
+g AS (SELECT word, count(*) AS n_near, min(struct_pack(o := -n, word := other)) AS best FROM e GROUP BY word),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.o >= {spelling.RATIO} * n THEN best.word END AS form,
+  CASE WHEN -best.o >= {spelling.RATIO} * n THEN -best.o END AS form_n FROM w LEFT JOIN g ON w.word = g.word),
+x AS (SELECT word, word AS at_word, form AS next FROM f
+  UNION ALL SELECT x.word, f.word, f.form FROM x JOIN f ON x.next = f.word)
+SELECT f.word, form, x.at_word AS root, n, n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN x ON f.word = x.word AND x.next IS NULL""",
+)
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return spelling.spelling_variants(spelling.word_counts(docs, drop_every=spelling.DROP_EVERY))
+
+
 _START = 1_704_067_200  # 2024-01-01
 _YEAR = 365 * 86_400
 _FETCHED = f"CAST({_START} + (page_id * 7919) % {_YEAR} AS BIGINT)"
