@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from wattloom.llm import chat, language, sharding, spelling, tokens, toxicity, urllists
+from wattloom.llm import chat, language, merkle, sharding, spelling, tokens, toxicity, urllists
 from wattloom.llm.common import text_of
 from wattloom.llm.decontam import contamination
 from wattloom.llm.exact_dedup import exact_duplicates
@@ -236,6 +236,68 @@ def op12(spark, sf_dir):
     return spelling.spelling_variants(spelling.word_counts(docs, drop_every=spelling.DROP_EVERY))
 
 
+def _field(value: str) -> str:
+    return f"coalesce(concat(octet_length(encode(CAST({value} AS VARCHAR))), ':', {value}), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256(concat({', '.join(_field(text if c == 'text' else c) for c in merkle.FIELDS)}))"
+
+
+def _tree_sql(name: str, key: str, levels: int) -> str:
+    """Levels ``<name>1``, ... over ``<name>0(key, i, d)``; ``<name>l_p(key, i, ds)`` has the children below each."""
+    parts = []
+    for k in range(levels):
+        parts.append(
+            f"""{name}{k}_p AS (SELECT {key}, i // 8 AS i, list(d ORDER BY i) AS ds FROM {name}{k} WHERE {key} IN
+  (SELECT {key} FROM {name}{k} GROUP BY {key} HAVING count(*) > 1) GROUP BY {key}, i // 8),
+{name}{k + 1} AS (SELECT {key}, i, sha256(array_to_string(ds, '')) AS d FROM {name}{k}_p
+  UNION ALL SELECT {key}, i, d FROM {name}{k} WHERE {key} NOT IN (SELECT {key} FROM {name}{k}_p))"""
+        )
+    return ",\n".join(parts)
+
+
+def _fold_sql(name: str, place: str, key: str, levels: int, start: str, out: str) -> str:
+    """Step by step from ``start(id columns, now, proof)`` to ``out<levels>``: the replaced digest and the siblings passed."""
+    parts = []
+    for k in range(levels):
+        slot = f"CAST((f.{place} // {8**k}) % 8 AS BIGINT)"
+        left, right = f"array_to_string(ds[:{slot}], '')", f"array_to_string(ds[{slot} + 2:], '')"
+        left = f"CASE WHEN {slot} = 0 THEN '' ELSE {left} END"
+        parts.append(
+            f"""{out}{k + 1} AS (SELECT f.* EXCLUDE (now, proof),
+  CASE WHEN ds IS NULL THEN now ELSE sha256(concat({left}, now, {right})) END AS now,
+  CASE WHEN ds IS NULL THEN proof ELSE concat(proof, {left}, {right}) END AS proof
+  FROM {start if not k else out + str(k)} f LEFT JOIN {name}{k}_p q ON q.{key} = f.{key} AND q.i = f.{place} // {8 ** (k + 1)})"""
+        )
+    return ",\n".join(parts)
+
+
+#: Levels that the SQL knows: two million rows of a language, 512 languages.
+_DEEP, _WIDE = 7, 3
+
+
+@query(
+    "op13_merkle",
+    f"""WITH RECURSIVE {CRC_TABLE},
+h AS (SELECT *, doc_id IS NOT NULL AND {crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 AS hit FROM documents, crc),
+l AS (SELECT doc_id, {_leaf("text")} AS leaf, {_leaf("low")} AS changed, 0 AS one, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, {_leaf("text")}) - 1 AS i
+  FROM (SELECT *, CASE WHEN hit AND text IS NOT NULL THEN {LOW} ELSE text END AS low FROM h)),
+n0 AS (SELECT t, i, leaf AS d FROM l),
+{_tree_sql("n", "t", _DEEP)},
+m0 AS (SELECT 0 AS one, t AS i, d FROM n{_DEEP}),
+{_tree_sql("m", "one", _WIDE)},
+s AS (SELECT *, changed AS now, '' AS proof FROM l),
+{_fold_sql("n", "i", "t", _DEEP, "s", "f")},
+{_fold_sql("m", "t", "one", _WIDE, f"f{_DEEP}", "g")}
+SELECT doc_id, leaf, n{_DEEP}.d AS subroot, m{_WIDE}.d AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = m{_WIDE}.d AS verified
+FROM g{_WIDE} f JOIN n{_DEEP} ON n{_DEEP}.t = f.t JOIN m{_WIDE} ON m{_WIDE}.one = f.one""",
+)
+def op13(spark, sf_dir):
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 _START = 1_704_067_200  # 2024-01-01
 _YEAR = 365 * 86_400
 _FETCHED = f"CAST({_START} + (page_id * 7919) % {_YEAR} AS BIGINT)"
