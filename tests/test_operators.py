@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from wattloom.operators import keys, knn, labels as lab
+from wattloom.operators import cells, keys, knn, labels as lab
 from wattloom.operators.previous import in_segments, with_previous
 from wattloom.operators.counters import counter_steps
 from wattloom.operators.dedup import drop_repeats
@@ -246,7 +246,7 @@ def nearest_by_hand(rows, k, exclude):
 
 
 @pytest.mark.parametrize("exclude", [None, "fold"])
-@pytest.mark.parametrize("limits", [knn.Limits(), knn.Limits(0, 16, 20, 8), knn.Limits(0, 1000, 1000, 1), knn.Limits(0, 16, 20, 8, 3)])
+@pytest.mark.parametrize("limits", [knn.Limits(), knn.Limits(0, 16, 20, 8), knn.Limits(0, 1000, 1000, 1), knn.Limits(0, 16, 20, 8, 400)])
 @pytest.mark.parametrize("k", [1, 5])
 def test_neighbours(vectors, exclude, limits, k):
     rows, df = vectors
@@ -277,6 +277,53 @@ def test_neighbours_edges(spark, vectors):
     assert len(ranked) == 600 and {r["rank"] for r in ranked} == {1, 2}
 
 
+def clusters(spark, n=1200, centers=12, width=8):
+    r = np.random.default_rng(5)
+    middle = r.normal(size=(centers, width))
+    x = middle[np.arange(n) % centers] + r.normal(scale=0.02, size=(n, width))
+    return spark.createDataFrame([(i, v.tolist(), float(i), i % 3) for i, v in enumerate(x)], "id bigint, v array<double>, y double, fold int")
+
+
+def test_a_table_is_cut_once_and_far_cells_are_not_met(spark, monkeypatch):
+    df = clusters(spark)
+    entries = knn.training_entries(df, "v", "id", "y", 5, "fold")
+    built, asked = [], []
+    build, meet = cells.CellIndex.build, cells.CellIndex._meet
+    monkeypatch.setattr(cells.CellIndex, "build", staticmethod(lambda *a: built.append(1) or build(*a)))
+    monkeypatch.setattr(cells.CellIndex, "_meet", lambda self, q, k: asked.append(q.count()) or meet(self, q, k))
+    searcher = knn.Searcher(entries, 5, knn.Limits(0, 50, 100))
+    first = searcher.search(df, "v", "fold").collect()
+    second = searcher.search(df, "v", "fold").collect()
+    assert len(built) == 1 and len(searcher.index.cells) == 24
+    assert sorted(map(repr, first)) == sorted(map(repr, second))
+    assert asked[0] + asked[1] < 1200 * 12  # of 1200 x 24 meetings
+    plain = knn.with_neighbours(df, entries, 5, "v", "fold").collect()
+    assert {r["id"]: r["neighbours"]["ids"] for r in first} == {r["id"]: r["neighbours"]["ids"] for r in plain}
+
+
+def test_candidates_are_cut_before_the_shuffle(spark):
+    df = clusters(spark, 200)
+    out = knn.Searcher(knn.training_entries(df, "v", "id", "y"), 5, knn.Limits(0, 50, 100)).search(df, "v")
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("WindowGroupLimit") >= 2  # in every task, and after the shuffle
+
+
+def test_wide_vectors_make_small_blocks():
+    assert knn.Limits().rows_of(64, 4096) == 4096
+    assert knn.Limits().rows_of(10_000, 20_000) * 10_000 * 8 <= 64 << 20
+
+
+def test_nearest_cells_only(spark):
+    df = clusters(spark)
+    searcher = knn.Searcher(knn.training_entries(df, "v", "id", "y"), 5, knn.Limits(0, 50, 100))
+    probes = searcher.probes_for(df, 0.9, "v")
+    assert probes and probes < 24
+    exact = {r["id"]: set(r["neighbours"]["ids"]) for r in searcher.search(df, "v").collect()}
+    found = {r["id"]: set(r["neighbours"]["ids"]) for r in searcher.search(df, "v", probes=probes).collect()}
+    assert all(len(found[i]) == 5 for i in exact)
+    assert sum(len(found[i] & exact[i]) for i in exact) >= 0.88 * 5 * len(exact)
+
+
 def test_near_copies_keep_their_own_targets(spark):
     """Vectors that a product cannot tell apart, and one vector written at two lengths."""
     base = [0.3, 0.4, 0.5, 0.6]

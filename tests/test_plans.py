@@ -177,6 +177,19 @@ def test_training_to_scores(spark, series, flat, requests, tmp_path):
         KnnModel.fit(rows.withColumn("total_energy_j", F.lit(float("nan"))), "total_energy_j")
 
 
+def test_a_kept_model_keeps_its_cells(spark, tmp_path, monkeypatch):
+    from wattloom.operators import cells, knn
+
+    rows = spark.range(300).select("id", F.array(F.cos("id"), F.sin("id"), F.lit(0.5)).alias("features"), F.col("id").cast("double").alias("y"))
+    limits = knn.Limits(0, 40, 50)
+    KnnModel.fit(rows, "y", id="id", limits=limits).save(str(tmp_path / "model"))
+    monkeypatch.setattr(cells.CellIndex, "build", staticmethod(lambda *a: pytest.fail("cut again")))
+    model = KnnModel.load(spark, str(tmp_path / "model"), limits)
+    one = rows.filter("id = 7")
+    assert model.predict(one).first()["prediction"] == pytest.approx(KnnModel.load(spark, str(tmp_path / "model")).predict(one).first()["prediction"])
+    assert len(model.predict(rows).collect()) == 300
+
+
 MANIFESTS = """---
 apiVersion: apps/v1
 kind: Deployment

@@ -18,7 +18,7 @@ from wattloom.plans.score import over_horizon, requests_of_documents, score_docu
 from wattloom.registry.base import EV, events, grid_sql, query, r, span, table
 from wattloom.registry.specs import FLAT_SQL, REQUESTS_SQL, _documents, part_requests, s
 from wattloom.schemas import accepted
-from wattloom.session import scratch_path
+from wattloom.session import scratch_path, written
 from wattloom.sources.tables import read_table, write_predictions, write_table
 
 # --- encoder over customers and suppliers ---
@@ -181,6 +181,24 @@ def knn_partitioned(spark, sf):
     return _predict(spark, sf, knn.Limits(broadcast_bytes=0, block_rows=128, query_rows=500))
 
 
+@query(
+    "knn_approximate",
+    "SELECT 2 * count(*) AS queries, 2 * least(5, count(*)) * count(*) AS neighbours, true AS reaches_goal FROM embeddings",
+)
+def knn_approximate(spark, sf):
+    """Vectors and near copies of them, searched in the nearest cells only: as many as the measured recall asks for."""
+    rows = _embeddings(spark, sf).select((F.col("vec_id") * 2).alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), "y")
+    moved = F.transform("v", lambda x, i: x + F.when(i == F.pmod("vec_id", F.size("v")), 0.01).otherwise(0.0))
+    both = written(rows.unionByName(rows.withColumn("v", moved).withColumn("vec_id", F.col("vec_id") + 1)), "approximate")
+    searcher = knn.Searcher(knn.training_entries(both, "v", "vec_id", "y"), limits=knn.Limits(0, 128, 500))
+    probes = searcher.probes_for(both, 0.9, "v")
+    exact = searcher.search(both, "v", out="true")
+    found = searcher.search(exact, "v", probes=probes)
+    hits = F.sum(F.size(F.array_intersect("true.ids", "neighbours.ids")))
+    total = F.sum(F.size("neighbours.ids")).cast("long")
+    return found.agg(F.count(F.lit(1)).alias("queries"), total.alias("neighbours"), (hits >= 0.88 * F.sum(F.size("true.ids"))).alias("reaches_goal"))
+
+
 @query(
     "knn_neighbours",
     f"""WITH {EMBEDDINGS_SQL}, nn AS ({knn_sql('e', 'e', 3)})
