@@ -4,12 +4,11 @@ import json
 import random
 import time
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from wattloom.operators.dedup import drop_repeats
-from wattloom.streaming.dedup import drop_repeats_stream
+from wattloom.streaming.dedup import RepeatCounts, drop_repeats_stream
 from wattloom.streaming.jobs import fresh_events
 from wattloom.sources.objects import stream_changes
 
@@ -78,39 +77,77 @@ def test_late_first_sightings_come_out(spark, tmp_path):
 
 
 def test_one_far_future_event_forgets_nothing(spark, tmp_path):
-    """Keys of one bucket, a stray time a year ahead, then repeats of the other keys in later micro-batches."""
+    """A stray time a year ahead, then repeats of the other keys in later micro-batches."""
     src = tmp_path / "in"
     src.mkdir()
     put(spark, [{"id": 0, "k": "a", "ts": iso(100)}, {"id": 1, "k": "b", "ts": iso(101)}], src, 0)
     put(spark, [{"id": 2, "k": "stray", "ts": iso(100).replace("2024", "2025")}], src, 1)
     for n in range(2, 5):
         put(spark, [{"id": 10 * n, "k": "a", "ts": iso(100 + n)}, {"id": 10 * n + 1, "k": "b", "ts": iso(101 + n)}], src, n)
-    out = drain(drop_repeats_stream(stream(spark, src), ["k"], "ts", ["id"], buckets=1), tmp_path)
+    out = drain(drop_repeats_stream(stream(spark, src), ["k"], "ts", ["id"]), tmp_path)
     assert sorted(r["id"] for r in out.collect()) == [0, 1, 2]
 
 
-def test_old_sightings_are_forgotten():
-    """State follows the keys of a stretch of event time, with strays ahead among them, and old keys can still come in."""
-    from wattloom.streaming.dedup import BUCKET, HELPERS, _repeat_filter
-
-    class State:
-        exists, get = False, None
-
-        def update(self, value):
-            self.exists, self.get = True, value
-
-    step, state = _repeat_filter(10.0, (), ["id"], 100.0), State()
+def by_arrival(rows, ttl=10):
+    """Kept ids and number of late rows, one row after the other; rows are (file, time, id, key)."""
+    seen, kept, late, start, last = {}, [], 0, {}, None
+    for file, t, i, k in sorted(rows):
+        if file != last:
+            start, last = dict(seen), file
+        late += k in start and t < start[k]
+        if k not in seen or t - seen[k] > ttl:
+            kept.append(i)
+        seen[k] = max(t, seen.get(k, t))
+    return sorted(kept), late
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_cut_into_batches_keeps_the_same_rows(spark, tmp_path, seed):
+    """Files out of order, handed over one, two or all at a time: one result, and one count of late rows."""
+    rng = random.Random(seed)
+    rows = [(n, round(rng.uniform(0, 120) + 25 * rng.choice([n, 4 - n]), 3), n * 100 + j, rng.choice("aaabcd")) for n in range(5) for j in range(30)]
+    src = tmp_path / "in"
+    src.mkdir()
+    for n in range(5):
+        put(spark, [{"file": f, "ts": iso(t), "id": i, "k": k} for f, t, i, k in rows if f == n], src, n)
+    want, late = by_arrival(rows)
+    assert late > 10
+    for files in (1, 2, 9):
+        counts = RepeatCounts()
+        spark.streams.addListener(counts)
+        read = spark.readStream.schema(DDL + ", file int").option("maxFilesPerTrigger", files).json(str(src))
+        out = drain(drop_repeats_stream(read, ["k"], "ts", ["id"], arrival=["file"]), tmp_path / str(files))
+        assert sorted(r["id"] for r in out.collect()) == want
+        for _ in range(50):  # progress is told by another thread
+            if (counts.kept, counts.late) == (len(want), late):
+                break
+            time.sleep(0.1)
+        spark.streams.removeListener(counts)
+        assert (counts.kept, counts.late) == (len(want), late)
+
+
+def test_work_follows_the_rows_of_a_batch(spark, tmp_path):
+    """Many live keys, then one row: one value of state is written."""
+    src = tmp_path / "in"
+    src.mkdir()
+    put(spark, [{"id": i, "k": f"k{i}", "ts": iso(100)} for i in range(4000)], src, 0)
+    df = drop_repeats_stream(stream(spark, src), ["k"], "ts", ["id"])
+    drain(df, tmp_path)
+    put(spark, [{"id": 9999, "k": "k17", "ts": iso(200)}], src, 1)
+    writer = df.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint"))
+    query = writer.option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    state = query.lastProgress["stateOperators"][0]
+    assert state["numRowsUpdated"] == 1
+    assert spark.read.schema(df.schema).parquet(str(tmp_path / "out")).count() == 4001
 
-    def passed(rows):
-        batch = pd.DataFrame([(n, float(t), k, k, 0) for n, (k, t) in enumerate(rows)], columns=["id", *HELPERS, BUCKET])
-        return len(next(step((0,), iter([batch]), state)))
 
-    for n in range(50):
-        assert passed([(n * 100 + i, n * 100 + i) for i in range(100)] + [(-1 - n, 1e9)]) == 101
-    assert len(state.get[0]) // 8 < 500
-    for n in range(20):  # a replay of old data
-        assert passed([(10**6 + n * 10 + i, i) for i in range(10)]) == 10
-    assert passed([(10**6 + n, n % 10 + 1) for n in range(130, 200)]) == 0
+def test_rows_without_time_or_key(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    put(spark, [{"id": 0, "k": None, "ts": iso(1)}, {"id": 1, "k": None, "ts": iso(2)}, {"id": 2, "k": "a", "ts": None}, {"id": None, "k": "a", "ts": iso(3)}, {"id": 3, "k": "a", "ts": iso(3)}], src, 0)
+    out = drain(drop_repeats_stream(stream(spark, src), ["k"], "ts", ["id"]), tmp_path)
+    assert sorted((r["id"] is None, r["id"] or 0) for r in out.collect()) == [(False, 0), (True, 0)]
 
 
 def test_restart_keeps_state(spark, tmp_path):

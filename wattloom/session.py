@@ -19,6 +19,8 @@ SESSION_CONF = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
+    # state expires by wall clock, for which Spark would run empty micro-batches without end
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 

@@ -1,84 +1,92 @@
-"""Time-to-live de-duplication of an unbounded stream, in event time."""
+"""Time-to-live de-duplication of an unbounded stream, in event time, with one value of state per key."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from typing import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wattloom.functions.quantities import timestamp_seconds
 from wattloom.operators.dedup import TTL_SECONDS
 
-BUCKETS = 256
 KEEP_SECONDS = 86_400.0
-RECENT = 64  # sightings of a bucket that tell how far its events have come, and that stay
-HELPERS = ("__seconds", "__h1", "__h2")
-BUCKET = "__bucket"
-
-
-def _first_of_cells(batch: pd.DataFrame, tie_break: Sequence[str], ttl: float) -> pd.DataFrame:
-    """The first row of each key and ttl-wide cell of time, with the cell's last time ``__high``."""
-    seconds, h1, h2 = (batch[c].to_numpy() for c in HELPERS)
-    high = batch["__high"].to_numpy() if "__high" in batch.columns else seconds
-    ties = [batch[c].to_numpy() for c in tie_break]
-    place = np.lexsort((*ties[::-1], seconds, h2, h1))
-    h1, h2, cell, high = h1[place], h2[place], (seconds // ttl)[place], high[place]
-    new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (cell[1:] != cell[:-1])]
-    starts = np.flatnonzero(new)
-    return batch.iloc[place[starts]].assign(__high=np.maximum.reduceat(high, starts))
-
-
-def _repeat_filter(ttl: float, tie_break: Sequence[str], columns: Sequence[str], keep: float):
-    """State of a bucket of keys: when each was last seen.  A row passes when that is more than ttl ago.
-
-    The rows of a bucket arrive in batches, and each batch is cut down at once to the first
-    row and last time of every key and ttl-wide cell (rows in one cell are less than ttl
-    apart).  Memory follows the cells of a micro-batch, not the rows of a busy key, and all
-    keys of a bucket are handled by one pass over arrays.  A row older than its key's last
-    sighting is a repeat and moves nothing.  The state is in the order in which keys came
-    last.  The last ``RECENT`` of them always stay, and the lower quartile of their times is
-    how far the bucket has come, so that a few stray times do not matter; sightings more
-    than ``keep`` before that are forgotten, and a row of a forgotten key passes again.
+SECONDS, LATE = "__seconds", "__late"
+METRICS = "repeats"  # name of the observed counts: kept, late
+
+
+class _Repeats(StatefulProcessor):
+    """When a key was last seen.  A row passes when that is more than ttl before it.
+
+    Rows are taken by arrival and, where that is equal, by time.  Of each ttl-wide cell of time only the first row
+    can pass, so a busy key costs a row per cell and a number per sighting.  A row older than the key's last
+    sighting is late: it is counted, moves nothing and never passes.
+    """
+
+    def __init__(self, ttl: float, keep: float, arrival: Sequence[str], tie_break: Sequence[str], columns: Sequence[str]):
+        self.ttl, self.keep, self.arrival, self.tie_break, self.columns = ttl, keep, arrival, tie_break, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.named = Row(*self.columns, LATE)
+        self.last = handle.getValueState("last", "seen double", int(1000 * max(self.keep, self.ttl)))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came: dict = {}
+        for row in rows:
+            t = row[SECONDS]
+            cells = came.setdefault(tuple(row[c] for c in self.arrival), {})
+            rank = (t, *[(row[c] is not None, row[c]) for c in self.tie_break])
+            cell = cells.get(t // self.ttl)
+            if cell is None:
+                cells[t // self.ttl] = [rank, row, array("d", (t,))]
+                continue
+            cell[2].append(t)
+            if rank < cell[0]:
+                cell[0], cell[1] = rank, row
+        known = self.last.get()
+        seen = start = None if known is None else known[0]
+        for _, cells in sorted(came.items()):
+            start = seen
+            for _, (_, row, times) in sorted(cells.items()):
+                late = 0
+                if start is not None:
+                    times = sorted(times)
+                    late = bisect_left(times, start)
+                fresh = seen is None or (not late and row[SECONDS] - seen > self.ttl)
+                if fresh or late:
+                    yield self.named(*[row[c] for c in self.columns], late)
+                seen = max(times) if seen is None else max(seen, max(times))
+        if known is None or seen > known[0]:
+            self.last.update((seen,))
+
+    def close(self) -> None:
+        pass
+
+
+def mark_repeats_stream(
+    events: DataFrame,
+    keys: Sequence[str],
+    ts: str = "ts",
+    tie_break: Sequence[str] = (),
+    ttl: float = TTL_SECONDS,
+    keep: float = KEEP_SECONDS,
+    arrival: Sequence[str] = (),
+) -> DataFrame:
+    """Rows that pass, with ``__late`` 0, and the first of each cell of late rows, with their number.
+
+    ``ts`` is a timestamp; rows without one have no place in time and are left out.  See :func:`drop_repeats_stream`.
     """
-    names = [*columns, *HELPERS, BUCKET]
-
-    def filter_bucket(bucket, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        heads = []
-        for batch in batches:
-            batch.columns = names  # computed columns arrive unnamed
-            heads.append(_first_of_cells(batch, tie_break, ttl))
-        rows = _first_of_cells(pd.concat(heads), tie_break, ttl) if len(heads) > 1 else heads[0]
-        low, h1, h2 = (rows[c].to_numpy() for c in HELPERS)
-        high = rows["__high"].to_numpy()
-        first = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-
-        known: dict = {}
-        if state.exists:
-            old = [np.frombuffer(part, dtype=kind) for part, kind in zip(state.get, ("i8", "i8", "f8"))]
-            known = {(a, b): t for a, b, t in zip(*(part.tolist() for part in old))}
-        starts = np.flatnonzero(first)
-        keys = list(zip(h1[starts].tolist(), h2[starts].tolist()))
-        seen = np.array([known.get(k, -np.inf) for k in keys])
-        before = np.where(first, -np.inf, np.r_[-np.inf, high[:-1]])
-        before = np.maximum(before, np.repeat(seen, np.diff(np.r_[starts, len(rows)])))
-        passed = low - before > ttl
-
-        latest = np.maximum(seen, np.maximum.reduceat(high, starts))
-        for k, t in zip(keys, latest.tolist()):
-            known.pop(k, None)  # to the end
-            known[k] = t
-        recent = sorted(list(known.values())[-RECENT:])
-        oldest = recent[(len(recent) - 1) // 4] - max(keep, ttl)
-        sure = len(known) - RECENT
-        live = [(a, b, t) for n, ((a, b), t) in enumerate(known.items()) if n >= sure or t >= oldest]
-        a, b, t = (np.array(part, dtype=kind) for part, kind in zip(zip(*live), ("i8", "i8", "f8")))
-        state.update((a.tobytes(), b.tobytes(), t.tobytes()))
-        yield rows.loc[passed, list(columns)]
-
-    return filter_bucket
+    columns = events.columns
+    stream = events.withColumn(SECONDS, timestamp_seconds(F.col(ts))).filter(F.col(SECONDS).isNotNull())
+    return stream.groupBy(*keys).transformWithState(
+        _Repeats(float(ttl), float(keep), tuple(arrival), tuple(tie_break), tuple(columns)),
+        outputStructType=events.schema.add(LATE, "long"),
+        outputMode="Append",
+        timeMode="ProcessingTime",
+    )
 
 
 def drop_repeats_stream(
@@ -89,15 +97,19 @@ def drop_repeats_stream(
     ttl: float = TTL_SECONDS,
     keep: float = KEEP_SECONDS,
     exact: bool = True,
-    buckets: int = BUCKETS,
+    arrival: Sequence[str] = (),
 ) -> DataFrame:
     """Streaming counterpart of ``operators.dedup.drop_repeats``; ``ts`` is a timestamp.
 
-    No row is dropped for being late: a key's first sighting passes whenever it arrives, and a
-    row older than its key's last sighting is a repeat.  Sightings are kept for ``keep`` seconds
-    of event time behind the lower quartile of the last ``RECENT`` keys of their bucket.  State is kept per bucket of keys (a 128-bit hash stands for a key), so that the cost of a
-    Python call is shared by many keys; ``buckets`` should be a few times the number of
-    shuffle partitions and must not change over the life of a checkpoint.
+    One rule for all rows: in the order of ``arrival``, and by time where that is equal, a row passes when its key
+    was not seen before or was last seen more than ``ttl`` earlier.  A key's first sighting passes however late it
+    is; a row older than its key's last sighting is a late repeat, dropped and counted.  With columns that tell
+    when rows arrived (a file's time, an offset), the same rows pass however they are cut into micro-batches;
+    without, rows of a micro-batch arrive together.
+
+    State is one number per key and is read and written only for keys of the micro-batch.  A key is forgotten
+    ``keep`` seconds of wall-clock time after it was last written, so times far ahead or behind forget nothing.
+    How many rows were kept and late is observed under the name ``repeats``; see :class:`RepeatCounts`.
 
     ``exact=False`` uses Spark's own de-duplication, which may also drop later repeats.
     """
@@ -105,16 +117,28 @@ def drop_repeats_stream(
         return events.withWatermark(ts, f"{max(1, round(ttl))} seconds").dropDuplicatesWithinWatermark(
             list(keys)
         )
-    columns = events.columns
-    hashes = (F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys))
-    helpers = dict(zip(HELPERS, (timestamp_seconds(F.col(ts)), *hashes)))
-    stream = events.withColumns(
-        {**helpers, BUCKET: F.pmod(hashes[0], F.lit(buckets))}
-    )
-    return stream.groupBy(BUCKET).applyInPandasWithState(
-        _repeat_filter(ttl, tie_break, columns, keep),
-        outputStructType=events.schema,
-        stateStructType="h1 binary, h2 binary, last binary",
-        outputMode="append",
-        timeoutConf="NoTimeout",
-    )
+    marked = mark_repeats_stream(events, keys, ts, tie_break, ttl, keep, arrival)
+    late = F.coalesce(F.sum(LATE), F.lit(0)).alias("late")
+    counted = marked.observe(METRICS, F.count_if(F.col(LATE) == 0).alias("kept"), late)
+    return counted.filter(F.col(LATE) == 0).drop(LATE)
+
+
+class RepeatCounts(StreamingQueryListener):
+    """Adds up what ``drop_repeats_stream`` observes: ``spark.streams.addListener(RepeatCounts())``."""
+
+    def __init__(self):
+        self.kept, self.late = 0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(METRICS)
+        if seen is not None:
+            self.kept, self.late = self.kept + seen["kept"], self.late + seen["late"]
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
