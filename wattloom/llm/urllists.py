@@ -54,9 +54,10 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     """``captures`` with ``host``, ``blocked``, ``list_name`` and ``pattern`` of the entry that decides.
 
     ``captures`` holds URLs and fetch times in seconds.  Of the entries active at that time the longest pattern
-    decides; of equally long ones an allowing entry, then the first list by name.  Intervals are repeated in the
-    stretches of time they touch, so the as-of join is an equi-join on pattern and stretch with few intervals on
-    one side; a host with very many captures is split by adaptive execution or meets a broadcast.
+    decides; of equally long ones an allowing entry, then the first list by name.  An interval is repeated only in
+    stretches of time from which there are captures of its pattern, so a stray time adds a stretch at most; the as-of
+    join is then an equi-join on pattern and stretch with few intervals on one side, and a host with very many
+    captures is split by adaptive execution or meets a broadcast.
 
     A URL that is null or has no host, and a null time, match nothing; nothing matched is not blocked.  Repeated
     rows come out each.  Without entries nothing is blocked, without captures the result is empty.  Columns called
@@ -64,28 +65,27 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
     """
     new = {"host", "blocked", "list_name", "pattern"}
     kept = [c for c in captures.columns if c.lower() not in new]
-    u, t = unused(captures, "__url", "__time")
+    u, t, e = unused(captures, "__url", "__time", "__entry")
     seen = captures.select(F.col(url_col).cast("string").alias(u), F.col(time_col).cast("long").alias(t))
     seen = written(seen.filter(F.col(u).isNotNull() & F.col(t).isNotNull()).distinct(), "captures")
-    span = seen.agg(F.max(t)).first()[0] or 0
-    cell = F.floor(F.col("start") / BUCKET)
-    last = F.floor(F.least(F.coalesce("stop", F.lit(span + 1)), F.lit(span + 1)) / BUCKET)
-    active = intervals(entries).filter(F.col("start") <= span)
-    active = active.withColumn("cell", F.explode(F.sequence(cell, last)))
-    active = small_or_not(written(active, "intervals"))
     asked = seen.select("*", F.explode(F.array_distinct(patterns_of(F.col(u)))).alias("pattern"))
     asked = asked.withColumn("cell", F.floor(F.col(t) / BUCKET))
+    cells = asked.select("pattern", "cell").distinct()
+    begin, end = F.floor(F.col("start") / BUCKET), F.floor(F.col("stop") / BUCKET)
+    active = intervals(entries).join(cells, "pattern")
+    active = active.filter((begin <= F.col("cell")) & (F.col("stop").isNull() | (F.col("cell") <= end)))
+    active = small_or_not(written(active, "intervals"))
     met = asked.join(active, ["pattern", "cell"]).filter(
         (F.col("start") <= F.col(t)) & (F.col("stop").isNull() | (F.col(t) < F.col("stop")))
     )
     rank = F.struct(-F.char_length("pattern"), ~F.col("allow"), "list_name", "pattern")
-    verdict = met.groupBy(u, t).agg(F.min_by(F.struct("allow", "list_name", "pattern"), rank).alias("entry"))
+    verdict = met.groupBy(u, t).agg(F.min_by(F.struct("allow", "list_name", "pattern"), rank).alias(e))
     verdict = small_or_not(written(verdict, "verdicts"))
     link = (captures[url_col].cast("string") == verdict[u]) & (captures[time_col].cast("long") == verdict[t])
     return captures.join(verdict, link, "left").select(
         *[captures[c] for c in kept],
         host_of(captures[url_col].cast("string")).alias("host"),
-        F.coalesce(~F.col("entry.allow"), F.lit(False)).alias("blocked"),
-        F.col("entry.list_name").alias("list_name"),
-        F.col("entry.pattern").alias("pattern"),
+        F.coalesce(~F.col(f"{e}.allow"), F.lit(False)).alias("blocked"),
+        F.col(f"{e}.list_name").alias("list_name"),
+        F.col(f"{e}.pattern").alias("pattern"),
     )
