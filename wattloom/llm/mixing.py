@@ -317,22 +317,21 @@ def mix(
     sized = written(docs.select(*measures(docs, id_col, text_col, source_col)), "sizes-by-document")
     params, repeats = plan_mix(sized, weights, share, limit)
     params = small_or_not(params)
-    marked = docs.select("*", *measures(docs, id_col, text_col, source_col))
     new = {"size", "source_size", "target", "copies", "taken"}
     old = [c for c in docs.columns if c.lower() not in new]
     params = params.toDF(*[c if c.startswith("__") else f"__{c}" for c in params.columns])
-    marked = marked.select(*[F.col(c).alias(f"__doc_{i}") for i, c in enumerate(old)], "__source", "__size", "__draw")
+    own = [F.col(f"`{c}`").alias(f"__doc_{i}") for i, c in enumerate(old)]  # names that no column of the mix has
+    marked = docs.select(*own, *measures(docs, id_col, text_col, source_col))
     return _answer(_massed(marked, repeats).join(params, "__source"), old, limit)
 
 
 def _answer(joined: DataFrame, old: list[str], limit: float) -> DataFrame:
     plain = joined.withColumnsRenamed({f"__{c}": c for c in ("words", "target", "mean", "tilt", "cut", "steps")})
-    copies = _copies(limit)
-    return plain.select(
+    return plain.withColumn("__copies", _copies(limit)).select(
         *[F.col(f"__doc_{i}").alias(c) for i, c in enumerate(old)],
         F.col("__size").alias("size"),
         F.col("words").alias("source_size"),
         "target",
-        copies.alias("copies"),
-        (copies * F.col("__size")).alias("taken"),
+        F.col("__copies").alias("copies"),
+        (F.col("__copies") * F.col("__size")).alias("taken"),
     )
