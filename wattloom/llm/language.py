@@ -24,7 +24,8 @@ BUCKETS = 1 << 16
 SWITCH = 6.0  # log-likelihood a change of language must gain
 WEIGHT = 3.0  # of a word's mean n-gram log-likelihood
 FIT_DOCUMENTS = 300  # most rows of each language that the model is fitted on
-FIT_CHARS = 20_000  # longer texts are not used for fitting
+FIT_CHARS = 20_000  # longer texts are used where a language has too few shorter ones
+FIT_TOTAL = 100_000_000  # most characters of all languages together
 SCRIPT_SHARE = 0.01  # a language uses a script if so much of its letters is in it
 UNKNOWN = "und"
 FAR = -1e4  # score of a language that a word's script rules out
@@ -106,7 +107,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> n
     offset = np.r_[0, np.cumsum(sizes)][:-1][order]
     length = sizes[order]
     longest = int(length[0]) if len(length) else 0
-    path = np.zeros(len(scores), np.int8)
+    path = np.zeros(len(scores), np.int16)
     if k < 2 or not longest:
         return path
     alive = np.searchsorted(-length, -np.arange(1, longest + 1), side="right")  # texts of at least t + 1 words
@@ -118,7 +119,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> n
         top = now.argmax(axis=1)
         jump = now[np.arange(n), top] - penalty
         moved = jump[:, None] > now
-        came.append(np.where(moved, top[:, None], np.arange(k)).astype(np.int8))
+        came.append(np.where(moved, top[:, None], np.arange(k)).astype(np.int16))
         best[:n] = np.where(moved, jump[:, None], now) + scores[offset[:n] + t]
     state = np.zeros(len(sizes), np.int64)
     for t in range(longest - 1, -1, -1):
@@ -151,11 +152,14 @@ def label_texts(model: Model, table: WordTable, texts: list[str]):
 
 
 def fit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """Texts and languages to fit on: at most ``FIT_DOCUMENTS`` per language, ``FIT_CHARS`` characters each."""
+    """Texts and languages to fit on: at most ``FIT_DOCUMENTS`` per language and ``FIT_CHARS`` times as many
+    characters, shorter texts first (see ``sampling.sample``)."""
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
-    rows = docs.filter(lang.isNotNull() & F.col(id_col).isNotNull() & (F.char_length(text) <= FIT_CHARS))
-    labelled = rows.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("d"), lang.alias("y"))
-    return sample(docs, labelled, FIT_DOCUMENTS, id_col, text_col)
+    rows = docs.filter(lang.isNotNull() & F.col(id_col).isNotNull() & text.isNotNull())
+    labelled = rows.select(
+        F.col(id_col).alias("k"), F.xxhash64(text).alias("d"), F.char_length(text).alias("n"), lang.alias("y")
+    )
+    return sample(docs, labelled, FIT_DOCUMENTS, FIT_CHARS, id_col, text_col, FIT_TOTAL)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ WORD_BUCKETS, PIECE_BUCKETS = 1 << 14, 1 << 15
 BATCH = 192
 THRESHOLD = 0.7
 FIT_DOCUMENTS = 1000  # most labelled rows of each class that the network is fitted on
-FIT_CHARS = 8_000  # longer labelled texts are not used for fitting
+FIT_CHARS = 8_000  # longer labelled texts are used where a class has too few shorter ones
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -292,12 +292,13 @@ def score_texts(net: Network, table: WordTable, texts: list[str]) -> np.ndarray:
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
-    """Texts and labels to fit on: at most ``FIT_DOCUMENTS`` of each class and ``FIT_CHARS`` characters each, by a
-    hash of id and text.  Rows that repeat an id with other labels, or have a null label, are left out."""
+    """Texts and labels to fit on: at most ``FIT_DOCUMENTS`` of each class and ``FIT_CHARS`` times as many characters,
+    by a hash of id and text, shorter texts first (see ``sampling.sample``).  Rows that repeat an id with other labels,
+    or have a null label, are left out."""
     clean = labels.groupBy(F.col(id_col).alias("k")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z"))
     clean = clean.filter((F.col("y") == F.col("z")) & F.col("y").isin(0, 1)).select("k", "y")
-    labelled = keyed(docs, id_col, text_col, FIT_CHARS).join(clean, "k")
-    return sample(docs, labelled, FIT_DOCUMENTS, id_col, text_col)
+    labelled = keyed(docs, id_col, text_col).join(clean, "k")
+    return sample(docs, labelled, FIT_DOCUMENTS, FIT_CHARS, id_col, text_col)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
