@@ -13,6 +13,7 @@ from wattloom.plans.encoder import Encoder
 from wattloom.plans.evaluate import cross_validate, score_report
 from wattloom.plans.labels import build_labels, labels_from_samples
 from wattloom.plans.model import KnnModel
+from wattloom.plans.sparse_encoder import SparseEncoder, densified, sparse_dot
 from wattloom.plans.score import over_horizon, requests_of_documents, score_documents, score_requests
 from wattloom.schemas import accepted
 from wattloom.sources.manifests import read_documents
@@ -177,6 +178,39 @@ def test_training_to_scores(spark, series, flat, requests, tmp_path):
         KnnModel.fit(rows.withColumn("total_energy_j", F.lit(float("nan"))), "total_energy_j")
 
 
+def test_sparse_vectors_equal_dense_ones(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("a", 1.0, "x", "pod runs pod"), ("b", 2.0, None, None), ("c", 4.0, "y", "other"), ("d", None, "x", "")],
+        "id string, n double, kind string, _text string",
+    )
+    for use_text in (False, True):
+        dense = Encoder.fit(rows, ["n"], ["kind", "id"], use_text).transform(rows, ["id"])
+        encoder = SparseEncoder.fit(rows, ["n"], ["kind", "id"], use_text)
+        encoder.save(str(tmp_path / f"sparse-{use_text}"))
+        out = SparseEncoder.load(spark, str(tmp_path / f"sparse-{use_text}")).transform(rows, ["id"])
+        got = {r["id"]: r["v"] for r in out.select("id", densified(F.col("features")).alias("v")).collect()}
+        want = {r["id"]: r["features"] for r in dense.collect()}
+        assert {i: pytest.approx(v) for i, v in want.items()} == got
+        for r in out.collect():
+            assert r["features"]["at"] == sorted(r["features"]["at"]) and r["vec_len"] == r["features"]["size"] == len(want["a"])
+        pairs = out.alias("l").crossJoin(out.alias("r")).select(
+            "l.id", F.col("r.id").alias("other"), sparse_dot(F.col("l.features"), F.col("r.features")).alias("dot")
+        )
+        for r in pairs.collect():
+            assert r["dot"] == pytest.approx(sum(x * y for x, y in zip(want[r["id"]], want[r["other"]])), abs=1e-6)
+    unseen = SparseEncoder.fit(rows, ["n"], ["kind"], False).transform(rows.withColumn("kind", F.lit("new")), ["id"])
+    assert {len(r["features"]["at"]) for r in unseen.collect()} == {1}
+    with pytest.raises(ValueError):
+        SparseEncoder.fit(rows.filter("false"), ["n"], ["kind"])
+
+
+def test_no_categories_in_the_plan(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("category"), "id").alias("c"), "id")
+    out = SparseEncoder.fit(rows, [], ["c"], use_text=False).transform(rows, ["id"])
+    assert "category2999" not in out._jdf.queryExecution().toString()
+    assert out.select(F.size("features.at").alias("n")).distinct().collect()[0]["n"] == 1
+
+
 def test_a_kept_model_keeps_its_cells(spark, tmp_path, monkeypatch):
     from wattloom.operators import cells, knn
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from wattloom.operators.dedup import drop_repeats
 from wattloom.streaming.dedup import RepeatCounts, drop_repeats_stream
-from wattloom.streaming.jobs import fresh_events
+from wattloom.plans.model import KnnModel
+from wattloom.plans.score import score_requests
+from wattloom.streaming.jobs import fresh_events, read_failed, requests_of_events, score_events
 from wattloom.sources.objects import stream_changes
 
 DDL = "id int, k string, ts timestamp"
@@ -182,3 +184,35 @@ def test_event_selection(spark, tmp_path):
     fresh = fresh_events(stream_changes(spark, str(src)), ("Deployment", "Job"), ["a"])
     got = drain(fresh, tmp_path).select("key_kind", "key_version").collect()
     assert sorted(tuple(r) for r in got) == [("Deployment", "1"), ("Deployment", "2"), ("Job", "1")]
+
+
+def test_a_failing_event_costs_only_itself(spark, tmp_path):
+    """One batch of 40 objects, two of which break the encoder: 38 are scored, two are kept aside and scored later."""
+    src = tmp_path / "in"
+    src.mkdir()
+
+    def event(n):
+        meta = {"namespace": "a", "name": f"w{n}", "resource_version": "1"}
+        spec = {"template": {"spec": {"containers": [{"name": "c", "image": "i"}]}}}
+        return {"type": "ADDED", "kind": "Deployment", "ts": iso(n), "object": {"kind": "Deployment", "metadata": meta, "spec": spec}}
+
+    put(spark, [event(n) for n in range(40)], src, 0)
+
+    class Breaking:
+        broken = ("w7", "w31")
+
+        def transform(self, rows, keep=()):
+            stop = F.when(F.col("workload_name").isin(*self.broken), F.raise_error(F.lit("bad row"))).otherwise(F.lit(1.0))
+            return rows.select(*keep, F.array(stop.cast("double"), F.lit(0.5)).alias("features"))
+
+    train = spark.createDataFrame([(1, [1.0, 0.5], 3.0)], "id int, features array<double>, y double")
+    model = KnnModel.fit(train, "y", id="id")
+    requests = requests_of_events(stream_changes(spark, str(src)))
+    out = str(tmp_path / "scores")
+    score_events(requests, Breaking(), model, out, str(tmp_path / "c"), once=True, tolerate_failures=True).awaitTermination()
+    scored = spark.read.parquet(out)
+    assert {r["workload_name"] for r in scored.collect()} == {f"w{n}" for n in range(40)} - set(Breaking.broken)
+    left = read_failed(spark, out)
+    assert sorted(r["workload_name"] for r in left.collect()) == ["w31", "w7"]
+    Breaking.broken = ("none",)
+    assert {r["prediction"] for r in score_requests(left, Breaking(), model, keep=["ts"]).collect()} == {3.0}

@@ -15,6 +15,7 @@ from wattloom.plans.evaluate import cross_validate, score_report
 from wattloom.plans.labels import labels_from_samples
 from wattloom.plans.model import KnnModel
 from wattloom.plans.score import over_horizon, requests_of_documents, score_documents, score_requests
+from wattloom.plans.sparse_encoder import SparseEncoder
 from wattloom.registry.base import EV, events, grid_sql, query, r, span, table
 from wattloom.registry.specs import FLAT_SQL, REQUESTS_SQL, _documents, part_requests, s
 from wattloom.schemas import accepted
@@ -116,6 +117,28 @@ def onehot(spark, sf):
     )
 
 
+@query(
+    "onehot_wide",
+    """WITH m AS (SELECT avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS std FROM orders),
+c AS (SELECT col, value, row_number() OVER (ORDER BY col, value) AS place FROM (
+  SELECT DISTINCT 1 AS col, o_orderpriority AS value FROM orders UNION SELECT DISTINCT 2, CAST(o_orderkey AS VARCHAR) FROM orders)),
+f AS (SELECT o_orderkey, 0 AS place, round((o_totalprice - mean) / std, 6) AS value FROM orders, m
+  UNION ALL SELECT o_orderkey, c.place, 1.0 FROM orders JOIN c ON c.col = 1 AND c.value = o_orderpriority
+  UNION ALL SELECT o_orderkey, c.place, 1.0 FROM orders JOIN c ON c.col = 2 AND c.value = CAST(o_orderkey AS VARCHAR))
+SELECT o_orderkey, CAST(place AS BIGINT) AS place, value, (SELECT count(*) + 1 FROM c) AS width FROM f""",
+)
+def onehot_wide(spark, sf):
+    """A category for every order: positions from a joined table, vectors of three numbers however wide."""
+    rows = table(spark, sf, "orders")
+    encoder = SparseEncoder.fit(rows, ["o_totalprice"], ["o_orderpriority", "o_orderkey"], use_text=False)
+    path = scratch_path(spark, "sparse-encoder")
+    encoder.save(path)
+    vectors = SparseEncoder.load(spark, path).transform(rows, ["o_orderkey"])
+    pairs = F.arrays_zip(F.col("features.at").alias("at"), F.col("features.values").alias("value"))
+    long = vectors.select("o_orderkey", F.col("features.size").cast("long").alias("width"), F.explode(pairs).alias("p"))
+    return long.select("o_orderkey", F.col("p.at").alias("place"), F.round("p.value", 6).alias("value"), "width")
+
+
 PART_FIT_SQL = f"""{REQUESTS_SQL}, {FLAT_SQL},
 pfit AS (SELECT {", ".join(f"avg({c}) AS m_{c}, CASE stddev_pop({c}) WHEN 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in NUMBERS)} FROM flat),
 pcats AS (SELECT {", ".join(f"list(DISTINCT coalesce({c}, 'NA') ORDER BY coalesce({c}, 'NA')) AS c_{c}" for c in CATEGORIES)} FROM flat),

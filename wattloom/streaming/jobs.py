@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wattloom.operators import requests as ops
@@ -59,6 +59,44 @@ def write_requests(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+SPREAD = 1 << 30  # rows are told apart by so many hashes when a failing batch is searched
+MOST_FAILING = 100  # failing pieces after which the rest of a failing half is kept aside as it is
+
+
+def failing_rows(batch: DataFrame, attempt: Callable[[DataFrame], None]) -> Column | None:
+    """A condition for the rows of ``batch`` that make ``attempt`` fail, found by halving; null where it succeeds.
+
+    A failing piece is halved by a hash of its rows until one hash is left, so each failing row costs about as
+    many attempts as the batch's size has bits.  ``batch`` should be persisted.
+    """
+    place = F.pmod(F.xxhash64(*[F.to_json(F.struct(*batch.columns))]), F.lit(SPREAD))
+    found: list[tuple[int, int]] = []
+
+    def search(low: int, high: int) -> None:
+        piece = batch.filter((place >= low) & (place < high))
+        ends = piece.agg(F.min(place).alias("a"), F.max(place).alias("b")).first()
+        if ends["a"] is None:
+            return
+        try:
+            attempt(piece)
+            return
+        except Exception as error:
+            log.warning("a piece of a batch cannot be scored: %s", str(error)[:200])
+        if ends["a"] == ends["b"] or len(found) >= MOST_FAILING:
+            found.append((ends["a"], ends["b"]))
+            return
+        middle = (ends["a"] + ends["b"] + 1) // 2
+        search(ends["a"], middle)
+        search(middle, ends["b"] + 1)
+
+    search(0, SPREAD)
+    bad = None
+    for low, high in found:
+        here = place.between(low, high)
+        bad = here if bad is None else bad | here
+    return bad
+
+
 def score_events(
     requests: DataFrame,
     encoder: Encoder,
@@ -70,21 +108,42 @@ def score_events(
 ) -> StreamingQuery:
     """Score each micro-batch into ``path/batch=<id>``; a replayed batch overwrites itself.
 
-    With ``tolerate_failures`` a batch that cannot be scored or written is logged, and its rows go
-    to ``path-failed/batch=<id>`` as they are; only if that fails too does the stream stop.
+    With ``tolerate_failures`` the rows that make scoring fail are found, logged and put into
+    ``path-failed/batch=<id>`` as they are (see :func:`read_failed`), and all others are scored.  A batch that cannot
+    be written even so goes there whole; only if that fails too does the stream stop.
     """
+    aside = f"{path.rstrip('/')}-failed"
+
+    def scores(rows: DataFrame) -> DataFrame:
+        return score_requests(rows.filter(rows[REJECT].isNull()), encoder, model, keep=["ts"])
+
+    def put(rows: DataFrame, batch_id: int) -> None:
+        scores(rows).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     def score(batch: DataFrame, batch_id: int) -> None:
+        if not tolerate_failures:
+            put(batch, batch_id)
+            return
+        batch = batch.persist()  # the state behind it must not be run again
         try:
-            scored = score_requests(
-                batch.filter(batch[REJECT].isNull()), encoder, model, keep=["ts"]
-            )
-            scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            put(batch, batch_id)
         except Exception:
-            if not tolerate_failures:
-                raise
-            log.exception("scoring of batch %s failed; its rows are kept aside", batch_id)
-            batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}-failed/batch={batch_id}")
+            log.exception("batch %s cannot be scored as a whole", batch_id)
+            bad = failing_rows(batch, lambda rows: scores(rows).write.format("noop").mode("overwrite").save())
+            try:
+                put(batch if bad is None else batch.filter(~bad), batch_id)
+            except Exception:
+                log.exception("batch %s is kept aside whole", batch_id)
+                bad = F.lit(True)
+            if bad is not None:
+                batch.filter(bad).write.mode("overwrite").parquet(f"{aside}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = requests.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_failed(spark: SparkSession, path: str) -> DataFrame:
+    """Requests kept aside by ``score_events``, to be scored again with ``plans.score.score_requests``."""
+    return spark.read.parquet(f"{path.rstrip('/')}-failed").drop("batch")
