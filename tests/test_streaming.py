@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattloom.operators.dedup import drop_repeats
-from wattloom.streaming.dedup import RepeatCounts, drop_repeats_stream
+from wattloom.streaming.dedup import StreamCounts, drop_repeats_stream
 from wattloom.plans.model import KnnModel
 from wattloom.plans.score import score_requests
 from wattloom.streaming.jobs import fresh_events, read_failed, requests_of_events, score_events
@@ -115,17 +115,17 @@ def test_any_cut_into_batches_keeps_the_same_rows(spark, tmp_path, seed):
     want, late = by_arrival(rows)
     assert late > 10
     for files in (1, 2, 9):
-        counts = RepeatCounts()
+        counts = StreamCounts()
         spark.streams.addListener(counts)
         read = spark.readStream.schema(DDL + ", file int").option("maxFilesPerTrigger", files).json(str(src))
         out = drain(drop_repeats_stream(read, ["k"], "ts", ["id"], arrival=["file"]), tmp_path / str(files))
         assert sorted(r["id"] for r in out.collect()) == want
         for _ in range(50):  # progress is told by another thread
-            if (counts.kept, counts.late) == (len(want), late):
+            if counts.total.get("repeats") == {"kept": len(want), "late": late}:
                 break
             time.sleep(0.1)
         spark.streams.removeListener(counts)
-        assert (counts.kept, counts.late) == (len(want), late)
+        assert counts.total["repeats"] == {"kept": len(want), "late": late}
 
 
 def test_work_follows_the_rows_of_a_batch(spark, tmp_path):

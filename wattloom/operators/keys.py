@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 JOIN_KEYS = ("namespace", "canon_name")
 WORKLOAD = ("namespace", "workload_kind", "workload_name")
@@ -85,3 +85,25 @@ def observed(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
     """The frame and a counter of its rows, filled by whatever job runs the frame next."""
     counter = Observation(stage)
     return df.observe(counter, F.count(F.lit(1)).alias("rows")), counter
+
+
+class StageCounts:
+    """Rows of the watched stages of a run, counted by the jobs that run anyway.
+
+    Every watched frame must have been run once before :meth:`table` is called, which waits for its count.
+    """
+
+    def __init__(self):
+        self._counters: list[tuple[str, Observation]] = []
+
+    def watch(self, df: DataFrame, stage: str) -> DataFrame:
+        out, counter = observed(df, stage)
+        self._counters.append((stage, counter))
+        return out
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(stage, rows), in the order of watching; a stage watched twice has the rows of both."""
+        total: dict[str, int] = {}
+        for stage, counter in self._counters:
+            total[stage] = total.get(stage, 0) + counter.get["rows"]
+        return spark.createDataFrame(list(total.items()), "stage string, rows bigint")

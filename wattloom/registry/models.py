@@ -8,8 +8,9 @@ from wattloom.functions.vectors import one_hot
 from wattloom.operators import knn
 from wattloom.operators.flatten import CATEGORIES, META, NUMBERS, flat_rows
 from wattloom.operators.folds import with_folds
+from wattloom.operators.keys import StageCounts
 from wattloom.operators.metrics import fold_metrics, summary
-from wattloom.plans.dataset import join_diagnostics, training_rows
+from wattloom.plans.dataset import join_diagnostics, training_rows, write_training_rows
 from wattloom.plans.encoder import Encoder
 from wattloom.plans.evaluate import cross_validate, score_report
 from wattloom.plans.labels import labels_from_samples
@@ -526,6 +527,22 @@ def workload_prediction(spark, sf):
     return model.predict(features).select(*META, r("prediction", 3))
 
 
+@query(
+    "stage_rows",
+    f"""WITH {TRAIN_SQL} SELECT 'features' AS stage, count(*) AS "rows" FROM enc UNION ALL SELECT 'labels', count(*) FROM cj
+UNION ALL SELECT 'training_rows', count(*) FROM tr UNION ALL SELECT 'scores', count(*) FROM enc""",
+)
+def stage_rows(spark, sf):
+    """Rows of every stage of a run from labels and features to scores, counted while they are written."""
+    path, counts = scratch_path(spark, "stages"), StageCounts()
+    features = workload_features(spark, sf)
+    total = write_training_rows(_job_labels(spark, sf), features, f"{path}/train", counts=counts)
+    model = KnnModel.fit(read_table(spark, f"{path}/train"), "total_energy_j")
+    write_table(counts.watch(model.predict(features), "scores"), f"{path}/scores")
+    joined = spark.createDataFrame([("training_rows", total)], "stage string, rows bigint")
+    return counts.table(spark).unionByName(joined)
+
+
 # --- scoring of manifests ---
 
 SCORES_SQL = f"""{PART_FIT_SQL}, pt AS (SELECT p_partkey AS id, v, p_retailprice AS y FROM penc JOIN part USING (p_partkey)),

@@ -355,20 +355,6 @@ def group_sizes(spark, sf):
     return keys.group_sizes(table(spark, sf, "events"), "user_id")
 
 
-@query(
-    "stage_rows",
-    f"""WITH {EV}, w AS (SELECT t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM ev)
-SELECT 'samples' AS stage, count(*) AS "rows" FROM ev UNION ALL SELECT 'sightings', count(*) FROM w WHERE gap IS NULL OR gap > 10""",
-)
-def stage_rows(spark, sf):
-    """Row counts of two stages, taken while the second is written."""
-    samples, seen = keys.observed(events(spark, sf).select("event_id", "user_id", "t"), "samples")
-    kept, left = keys.observed(drop_repeats(samples, ["user_id"], "t", ["event_id"]), "sightings")
-    kept.write.parquet(scratch_path(spark, "sightings"))
-    counts = [("samples", seen.get["rows"]), ("sightings", left.get["rows"])]
-    return spark.createDataFrame(counts, 'stage string, rows bigint')
-
-
 @query(
     "finite_targets",
     """WITH x AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'nan'::DOUBLE WHEN 'error' THEN NULL

@@ -109,7 +109,7 @@ def drop_repeats_stream(
 
     State is one number per key and is read and written only for keys of the micro-batch.  A key is forgotten
     ``keep`` seconds of wall-clock time after it was last written, so times far ahead or behind forget nothing.
-    How many rows were kept and late is observed under the name ``repeats``; see :class:`RepeatCounts`.
+    How many rows were kept and late is observed under the name ``repeats``; see :class:`StreamCounts`.
 
     ``exact=False`` uses Spark's own de-duplication, which may also drop later repeats.
     """
@@ -123,19 +123,20 @@ def drop_repeats_stream(
     return counted.filter(F.col(LATE) == 0).drop(LATE)
 
 
-class RepeatCounts(StreamingQueryListener):
-    """Adds up what ``drop_repeats_stream`` observes: ``spark.streams.addListener(RepeatCounts())``."""
+class StreamCounts(StreamingQueryListener):
+    """Adds up whatever streams observe: ``spark.streams.addListener(counts)``, then ``counts.total["repeats"]["late"]``."""
 
     def __init__(self):
-        self.kept, self.late = 0, 0
+        self.total: dict[str, dict[str, int]] = {}
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        seen = event.progress.observedMetrics.get(METRICS)
-        if seen is not None:
-            self.kept, self.late = self.kept + seen["kept"], self.late + seen["late"]
+        for stage, row in event.progress.observedMetrics.items():
+            sums = self.total.setdefault(stage, {})
+            for name, value in row.asDict().items():
+                sums[name] = sums.get(name, 0) + value
 
     def onQueryIdle(self, event) -> None:
         pass

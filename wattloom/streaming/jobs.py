@@ -17,6 +17,7 @@ from wattloom.schemas import REJECT, accepted, validate
 from wattloom.streaming.dedup import KEEP_SECONDS, drop_repeats_stream
 
 log = logging.getLogger(__name__)
+STAGE = "requests"  # name of the observed counts: rows, rejected
 
 
 def fresh_events(
@@ -47,9 +48,10 @@ def requests_of_events(events: DataFrame, **options) -> DataFrame:
 def write_requests(
     requests: DataFrame, path: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
-    """Append accepted requests as JSON lines."""
+    """Append accepted requests as JSON lines.  All requests and rejected ones are observed as ``requests``."""
+    seen = requests.observe(STAGE, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(REJECT).isNotNull()).alias("rejected"))
     writer = (
-        accepted(requests)
+        accepted(seen)
         .writeStream.format("json")
         .outputMode("append")
         .option("ignoreNullFields", "false")
