@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wattloom.functions import quantities as q
 from wattloom.functions.names import owner_workload, with_canonical
@@ -12,8 +12,9 @@ from wattloom.operators.dedup import drop_repeats
 from wattloom.operators.grid import grid_max, grid_sum, on_grid
 from wattloom.operators.requests import allow, live_events
 from wattloom.registry.base import EV, events, grid_sql, query, r, span, table
+
 from wattloom.session import scratch_path
-from wattloom.sources.series import RESPONSE_DDL, flatten_series
+from wattloom.sources.series import RESPONSE_DDL, flatten_series, read_large_response
 
 STEP_SQL = f"""WITH {EV}, w AS (
   SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY t, event_id) AS p FROM ev)
@@ -454,14 +455,13 @@ def kind_union(spark, sf):
     return first.unionByName(second, allowMissingColumns=True)
 
 
-@query(
-    "matrix_flatten",
-    """SELECT CAST(event_id AS VARCHAR) AS id, event_type AS namespace, CAST(user_id AS VARCHAR) AS pod,
+MATRIX_SQL = """SELECT CAST(event_id AS VARCHAR) AS id, event_type AS namespace, CAST(user_id AS VARCHAR) AS pod,
   (epoch_us(ts)//1000000 + off)::DOUBLE AS ts, value * (off + 1) AS value
-FROM events, (SELECT unnest([0, 1]) AS off)""",
-)
-def matrix_flatten(spark, sf):
-    """Events as range-query responses (JSON text, values as strings), then flattened."""
+FROM events, (SELECT unnest([0, 1]) AS off)"""
+
+
+def _series(spark, sf: str) -> DataFrame:
+    """Every event as a series of two samples, values as strings."""
     whole = F.floor(q.timestamp_seconds(F.col("ts")))
     sample = lambda off: F.array(
         (whole + off).cast("string"), (F.col("value") * (off + 1)).cast("string")
@@ -471,11 +471,31 @@ def matrix_flatten(spark, sf):
         F.lit("namespace"), F.col("event_type"), F.lit("pod"), F.col("user_id").cast("string"),
     )
     series = F.struct(metric.alias("metric"), F.array(sample(0), sample(1)).alias("values"))
-    text = F.to_json(F.struct(F.struct(F.array(series).alias("result")).alias("data")))
-    responses = table(spark, sf, "events").select(F.from_json(text, RESPONSE_DDL).alias("r")).select("r.*")
+    return table(spark, sf, "events").select("event_id", series.alias("s"))
+
+
+@query("matrix_flatten", MATRIX_SQL)
+def matrix_flatten(spark, sf):
+    """Events as range-query responses (JSON text), then flattened."""
+    text = F.to_json(F.struct(F.struct(F.array("s").alias("result")).alias("data")))
+    responses = _series(spark, sf).select(F.from_json(text, RESPONSE_DDL).alias("r")).select("r.*")
     return flatten_series(responses, ["id", "namespace", "pod"])
 
 
+@query("matrix_flatten_one_file", MATRIX_SQL)
+def matrix_flatten_one_file(spark, sf):
+    """All series in one response in one file, which is cut by bytes."""
+    path = scratch_path(spark, "one-response")
+    series = _series(spark, sf)
+    first = F.col("event_id") == series.agg(F.min("event_id")).first()[0]
+    line = F.concat(F.when(first, "").otherwise(","), F.to_json("s"))
+    rows = series.select((F.col("event_id") + 1).alias("n"), line.alias("value"))
+    ends = [(-1, '{"status":"success","data":{"result":['), (1 << 40, "]}}")]
+    rows = rows.unionByName(spark.createDataFrame(ends, "n long, value string"))
+    rows.coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return flatten_series(read_large_response(spark, path), ["id", "namespace", "pod"])
+
+
 @query(
     "row_lookup",
     f"WITH {EV} SELECT event_id, user_id, event_type, value FROM ev QUALIFY row_number() OVER (ORDER BY value DESC, event_id) = 1",

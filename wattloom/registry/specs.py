@@ -13,7 +13,7 @@ from wattloom.registry.base import query, r, table
 from wattloom.schemas import REJECT, accepted, rejected
 from wattloom.session import scratch_path
 from wattloom.sources.manifests import read_documents
-from wattloom.sources.objects import as_events, read_changes, read_dump
+from wattloom.sources.objects import read_changes, read_dump, read_large_dump
 from wattloom.sources.tables import append_requests, read_requests
 
 
@@ -276,14 +276,14 @@ def manifest_rejects(spark, sf):
     return out.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query(
-    "pod_requests",
-    f"""WITH {REQUESTS_SQL}, p AS (SELECT * REPLACE (
+PODS_SQL = f"""WITH {REQUESTS_SQL}, p AS (SELECT * REPLACE (
   CASE WHEN p_size % 3 = 0 THEN 'ReplicaSet' ELSE 'Pod' END AS workload_kind,
   workload_name || CASE WHEN p_size % 3 = 0 THEN '-0123456789' ELSE '' END AS workload_name,
   NULL::INTEGER AS parallelism, NULL::INTEGER AS completions) FROM r),
-x AS (SELECT {COLUMNS_SQL} FROM p) SELECT * REPLACE ('' AS labels) FROM x""",
-)
+x AS (SELECT {COLUMNS_SQL} FROM p) SELECT * REPLACE ('' AS labels) FROM x"""
+
+
+@query("pod_requests", PODS_SQL)
 def pod_requests(spark, sf):
     """Pod objects in the spelling of client-library dumps, read as list dumps."""
     return _columns(accepted(object_requests(_dump(spark, sf), kinds=["Pod"])))
@@ -297,6 +297,20 @@ def _dump(spark, sf: str) -> DataFrame:
     return read_dump(spark, path)
 
 
+@query("pod_requests_one_file", PODS_SQL)
+def pod_requests_one_file(spark, sf):
+    """The same objects as one list in one file, which is cut by bytes."""
+    path = scratch_path(spark, "one-dump")
+    pods = manifests(spark, sf, pods=True).select("object")
+    least = pods.agg(F.min("object")).first()[0]
+    line = F.concat(F.when(F.col("object") == least, "").otherwise(","), F.col("object"))
+    rows = pods.select(F.lit(1).alias("n"), "object", line.alias("value"))
+    ends = [(0, "", '{"kind":"PodList","items":['), (2, "", "]}")]
+    rows = rows.unionByName(spark.createDataFrame(ends, "n int, object string, value string"))
+    rows.coalesce(1).sortWithinPartitions("n", "object").select("value").write.text(path)
+    return _columns(accepted(object_requests(read_large_dump(spark, path), kinds=["Pod"])))
+
+
 @query(
     "owner_map",
     """SELECT lower(replace(p_brand, '#', '-')) AS namespace, 'part' || p_partkey AS pod,

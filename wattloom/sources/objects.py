@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wattloom.sources.items import read_items
+
 EVENT_DDL = "type string, kind string, ts timestamp, object string"
 DUMP_DDL = "kind string, items array<string>"
 
@@ -15,6 +17,13 @@ def read_dump(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
     return lists.select(kind.alias("kind"), F.explode("items").alias("object"))
 
 
+def read_large_dump(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, object) like :func:`read_dump`, for files that hold one list each: a task per split, a row per item."""
+    items = read_items(spark, path, "items", 2)
+    kind = F.nullif(F.regexp_replace("kind", "List$", ""), F.lit(""))
+    return items.select(kind.alias("kind"), F.col("item").alias("object"))
+
+
 def as_events(dump: DataFrame, ts: Column) -> DataFrame:
     """A dump in the shape of change events, so that it can lead a stream."""
     return dump.select(F.lit("ADDED").alias("type"), "kind", ts.cast("timestamp").alias("ts"), "object")

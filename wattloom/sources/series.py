@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wattloom.sources.items import read_items
+
 # Shape of a range-query response.
 RESPONSE_DDL = (
     "data struct<result:array<struct<metric:map<string,string>,values:array<array<string>>>>>"
@@ -17,6 +19,13 @@ def read_responses(spark: SparkSession, path: str, multi_line: bool = False) ->
     return spark.read.schema(RESPONSE_DDL).option("multiLine", multi_line).json(path)
 
 
+def read_large_response(spark: SparkSession, path: str) -> DataFrame:
+    """Responses of one series each, from files that hold one response each: a task per split, a row per series."""
+    series = F.from_json("item", "metric map<string,string>, values array<array<string>>")
+    items = read_items(spark, path, "result", 3)
+    return items.select(F.struct(F.array(series).alias("result")).alias("data"))
+
+
 def flatten_series(
     responses: DataFrame, labels: Sequence[str] = ("namespace", "pod"), result: str = "data.result"
 ) -> DataFrame:
