@@ -1,6 +1,9 @@
 """Each operator against a plain version over awkward rows: nulls, repeats, ties, empty and long texts, no rows."""
 
+import math
 import random
+import re
+import string
 
 import numpy as np
 import pytest
@@ -153,13 +156,58 @@ def test_contamination(spark, none):
     assert {r["n_hit"] for r in decontam.contamination(documents(spark, given), items.limit(0)).collect()} == {0}
 
 
+def nearly(text, passage, slop, share=0.8, width=13):
+    """Plain form: every shift of every window, words looked up in order."""
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+    d, x = low(text), low(passage)
+    size = min(len(x), width)
+    for start in range(len(x) - size + 1 if x else 0):
+        for s in range(-len(x) - slop, len(d) + slop):
+            last = n = 0
+            for i in range(start, start + size):
+                at = next((p for p in range(max(last, s + i - slop), min(len(d), s + i + slop + 1)) if d[p] == x[i]), None)
+                if at is not None:
+                    last, n = at + 1, n + 1
+            if n >= math.ceil(round(share * size, 9)):
+                return True
+    return False
+
+
 def test_proximity(spark):
-    items = spark.createDataFrame([(1, "rare common strange")], "item_id long, text string")
-    terms = decontam.item_terms(items)
-    index = decontam.postings(documents(spark, [(1, "rare x common y strange", "a"), (2, "common " * 9 + "strange rare", "a")]), terms)
-    near_by = rows(decontam.proximity_matches(index, terms, slop=2), "row", "off")
-    assert [r[0]["id"] for r in near_by] == [1] and abs(near_by[0][1]) == 2
-    assert decontam.phrase_matches(index, terms).count() == 0
+    r = random.Random(4)
+    word = lambda: r.choice("abcdefghijklmnopqrstuvwxyz") * r.choice((1, 2, 3))
+    given = [(1, "rare common strange"), (2, None), (3, "zz"), (4, "Aa aa aa aa aa aa aa aa aa aa aa aa aa aa aa")]
+    given += [(i, " ".join(word() for _ in range(r.choice((7, 13, 14, 30, 90))))) for i in range(5, 20)]
+    texts = ["rare x common y strange", "common " * 9 + "strange rare", None, "", "ZZ", "aa " * 20, "aa b " * 20]
+    for k in range(45):  # passages with words replaced, left out and put in, at all places
+        w = given[4 + k % 15][1].split()
+        at = r.randrange(max(1, len(w) - 13))
+        w = w[at:] if k % 3 else w
+        for _ in range(r.choice((0, 1, 2, 3, 5))):
+            j = r.randrange(len(w))
+            w[j : j + r.choice((0, 1))] = r.choice(([], ["new"], [word()]))
+        around = [word() for _ in range(r.choice((0, 3, 62, 70)))]
+        texts.append(" ".join(around + w + around[:5]))
+    texts += [given[10][1] + " x" * 30_000 + " " + given[11][1]]
+    docs = documents(spark, [(k, t, "a") for k, t in enumerate(texts)] + [(None, given[8][1], "a"), (8, texts[8], "a")])
+    items = spark.createDataFrame(given + given[:6], "item_id long, text string")
+    for slop in (0, 3):
+        found = decontam.contamination(docs, items, slop=slop).collect()
+        got = sorted(((x["doc_id"], x["n_near"], x["near_sha256"]) for x in found), key=repr)
+        want = []
+        for k, t in [*enumerate(texts), (None, given[8][1]), (8, texts[8])]:
+            if k == len(texts) - 1:
+                # a shorter gap of the same word, for the plain form's sake
+                close = sorted(str(i) for i, p in given if nearly(t.replace(" x" * 30_000, " x" * 300), p, slop))
+            else:
+                close = sorted(str(i) for i, p in given if nearly(t, p, slop))
+            want.append((k, len(close), sha(",".join(close))))
+        assert got == sorted(want, key=repr)
+        assert sum(n > 0 for _, n, _ in got) > 20
+    plain = rows(decontam.contamination(docs, items), "doc_id", "n_hit", "items_sha256")
+    assert plain == sorted(((x["doc_id"], x["n_hit"], x["items_sha256"]) for x in found), key=repr)
+    assert decontam.contamination(docs.limit(0), items, slop=3).count() == 0
+    assert {x["n_near"] for x in decontam.contamination(docs, items.limit(0), slop=3).collect()} == {0}
 
 
 def test_mixing(docs, none):

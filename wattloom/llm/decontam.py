@@ -1,9 +1,11 @@
 """Benchmark passages found in training documents, by a distributed positional inverted index.
 
-The index has a posting (document, position, term) for every place where a term of the benchmark stands in a
-document.  A window of an item is looked up from its rarest term: each posting of that term proposes an alignment
-of item and document (document position minus item position), postings of the second rarest term confirm it,
-and for the alignments left the lists of all the item's terms are intersected.  Built-in expressions only.
+Words of the benchmark are counted over all documents, and every window of an item names its rarest places.  The
+index has a posting (document, position, term) for the terms of those places only.  Exact phrases: each posting of
+a window's rarest term proposes an alignment of item and document (document position minus item position), one of
+the second rarest confirms it, and the words of the aligned documents are laid against all words of the item.
+Proximity: places whose alignments differ by no more than the slop propose a match, and the window's words are
+looked up in order near it.  Built-in expressions only.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from wattloom.llm.common import lower_az, small_or_not, text_of, unused, written
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # fixed value: what stands between words
 WINDOW = 13
 MIN_SHARE = 20  # contaminated: at least one word in so many is hit
+NEAR_SHARE = 0.8  # proximity: share of a window's words found in order
+SLOP = 3  # proximity: words a place may be off
+BLOCK = 64  # document words that travel together when a proximity match is checked
 # A document row and an item: the id inside a struct, so that null ids join, and the hash of the text.
 KEY = ["row", "digest"]
 ITEM = ["item", "item_digest"]
@@ -36,74 +41,112 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     )
 
 
-def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row, digest, n_words, pos, term`` for the given terms, and a posting of the empty term at -1 for every row.
-
-    The empty term carries the number of words of documents that have none of the terms.
-    """
-    vocabulary = terms.select("term").distinct().union(terms.sparkSession.range(1).select(F.lit("")))
-    vocabulary = small_or_not(written(vocabulary, "vocabulary"))
-    listed = docs.select(
+def _listed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
         F.struct(F.col(id_col).alias("id")).alias("row"),
         F.xxhash64(text_of(text_col)).alias("digest"),
         words(text_col).alias("w"),
     )
-    every = listed.select(
-        *KEY, F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "term")
-    )
-    found = every.join(vocabulary, "term", "left_semi")
-    return written(found.select(*KEY, "n_words", (F.col("pos") - 1).alias("pos"), "term"), "postings")
 
 
-def windows(terms: DataFrame, index: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The two rarest places of every window that can occur: ``item.., i1, term1, i2, term2``, distinct.
+def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """``term, count``: how often the benchmark's terms stand in all documents; absent terms are left out."""
+    vocabulary = small_or_not(written(terms.select("term").distinct(), "vocabulary"))
+    every = docs.select(F.explode(words(text_col)).alias("term")).join(vocabulary, "term", "left_semi")
+    return written(every.groupBy("term").agg(F.count(F.lit(1)).alias("count")), "term-counts")
 
-    A window with a term that stands in no document is left out.
-    """
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+
+def windows(terms: DataFrame, counts: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``item, item_digest, n, start, p``: the places (count, i, term) of every window, rarest first."""
     size = F.least("n", F.lit(width))
     starts = F.sequence(F.greatest(F.lit(0), F.col("i") - size + 1), F.least(F.col("i"), F.col("n") - size))
     placed = terms.join(counts, "term", "left").select(
         *ITEM,
+        "n",
         F.explode(starts).alias("start"),
         F.struct(F.coalesce("count", F.lit(0)).alias("count"), "i", "term").alias("place"),
     )
-    rare = placed.groupBy(*ITEM, "start").agg(F.sort_array(F.collect_list("place")).alias("p"))
+    return written(placed.groupBy(*ITEM, "n", "start").agg(F.sort_array(F.collect_list("place")).alias("p")), "windows")
+
+
+def _pairs(wins: DataFrame) -> DataFrame:
+    """The two rarest places of windows whose words all stand somewhere: ``item.., i1, term1, i2, term2``."""
     first, second = F.col("p")[0], F.coalesce(F.get("p", F.lit(1)), F.col("p")[0])
-    rare = rare.filter(first["count"] > 0)
-    return rare.select(
-        *ITEM,
-        first["i"].alias("i1"),
-        first["term"].alias("term1"),
-        second["i"].alias("i2"),
-        second["term"].alias("term2"),
-    ).distinct()
+    return (
+        wins.filter(first["count"] > 0)
+        .select(
+            *ITEM, first["i"].alias("i1"), first["term"].alias("term1"), second["i"].alias("i2"), second["term"].alias("term2")
+        )
+        .distinct()
+    )
+
+
+def _need(share: float) -> Column:
+    """Words of a window that have to be found."""
+    return F.ceil(F.round(F.size("p") * F.lit(float(share)), 9)).cast("int")
+
+
+def _anchors(wins: DataFrame, share: float) -> DataFrame:
+    """``item.., n, i, term``: of every window so many rarest places that two of them are in any match.
 
+    A match lacks ``size - need`` words at most, so of ``size - need + 2`` places it has two (of one place, one).
+    """
+    chosen = F.slice("p", 1, F.size("p") - _need(share) + 2)
+    return (
+        wins.select(*ITEM, "n", F.explode(chosen).alias("place"))
+        .filter("place.count > 0")
+        .select(*ITEM, "n", "place.i", "place.term")
+        .distinct()
+    )
 
-def _proposed(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """Alignments by the rarest terms: ``row, digest, item.., shift, i2, term2``."""
-    first = rare.withColumnRenamed("term1", "term")
-    return index.join(first, "term").select(*KEY, *ITEM, (F.col("pos") - F.col("i1")).alias("shift"), "i2", "term2")
+
+def postings(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``row, digest, n_words, pos, term`` for the chosen terms, and a posting of the empty term at -1 for every row.
+
+    The empty term carries the number of words of documents that have none of the terms.
+    """
+    vocabulary = chosen.select("term").union(chosen.sparkSession.range(1).select(F.lit(""))).distinct()
+    vocabulary = small_or_not(written(vocabulary, "chosen-terms"))
+    every = _listed(docs, id_col, text_col).select(
+        *KEY, F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "term")
+    )
+    found = every.join(vocabulary, "term", "left_semi")
+    return written(found.select(*KEY, "n_words", (F.col("pos") - 1).alias("pos"), "term"), "postings")
 
 
-def _seconds(index: DataFrame, rare: DataFrame) -> DataFrame:
-    terms = small_or_not(written(rare.select(F.col("term2").alias("term")).distinct(), "second-terms"))
-    return index.join(terms, "term", "left_semi").select(*KEY, "pos", F.col("term").alias("term2"))
+def _held(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, digest, w``: the words of the documents that have something to check."""
+    keys = small_or_not(written(keys.select(*KEY).distinct(), "held-documents"))
+    plain = docs.select(
+        F.struct(F.col(id_col).alias("id")).alias("row"), F.xxhash64(text_of(text_col)).alias("digest"), F.col(text_col).alias("t")
+    )
+    return plain.join(keys, KEY, "left_semi").select(*KEY, words("t").alias("w"))
 
 
-def phrase_matches(index: DataFrame, terms: DataFrame, width: int = WINDOW) -> DataFrame:
+def phrase_matches(
+    docs: DataFrame,
+    index: DataFrame,
+    terms: DataFrame,
+    wins: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WINDOW,
+) -> DataFrame:
     """Exact occurrences: ``row, digest, item, item_digest, begin, end`` (document positions, end excluded).
 
     A row is a longest stretch of an item found in a document; it has ``width`` words or more, or is the whole of
     a shorter item.  All occurrences of all windows lie in these rows, and nothing else does.
     """
-    rare = written(windows(terms, index, width), "rarest")
-    rare = small_or_not(rare)
-    proposed = _proposed(index, rare).withColumn("pos", F.col("shift") + F.col("i2"))
-    confirmed = proposed.join(_seconds(index, rare), [*KEY, "pos", "term2"], "left_semi")
+    rare = small_or_not(written(_pairs(wins), "rarest"))
+    proposed = index.join(rare.withColumnRenamed("term1", "term"), "term").select(
+        *KEY, *ITEM, (F.col("pos") - F.col("i1")).alias("shift"), "i2", "term2"
+    )
+    seconds = small_or_not(written(rare.select(F.col("term2").alias("term")).distinct(), "second-terms"))
+    seconds = index.join(seconds, "term", "left_semi").select(*KEY, "pos", F.col("term").alias("term2"))
+    proposed = proposed.withColumn("pos", F.col("shift") + F.col("i2"))
+    confirmed = proposed.join(seconds, [*KEY, "pos", "term2"], "left_semi")
     aligned = written(confirmed.select(*KEY, *ITEM, "shift").distinct(), "alignments")
-    held = small_or_not(written(aligned.select(*KEY).distinct(), "aligned-documents"))
-    inside = index.join(held, KEY, "left_semi").select(*KEY, "pos", "term")
+    inside = _held(docs, aligned, id_col, text_col).select(*KEY, F.posexplode("w").alias("pos", "term"))
     expected = (
         aligned.join(terms, ITEM)
         .withColumn("pos", F.col("shift") + F.col("i"))
@@ -120,26 +163,74 @@ def phrase_matches(index: DataFrame, terms: DataFrame, width: int = WINDOW) -> D
     return runs.select(*KEY, *ITEM, "begin", (F.col("begin") + F.col("length")).alias("end"))
 
 
-def proximity_matches(index: DataFrame, terms: DataFrame, slop: int, width: int = WINDOW) -> DataFrame:
-    """Places where a window's two rarest terms stand at most ``slop`` words from their distance in the item.
+def proximity_matches(
+    docs: DataFrame,
+    index: DataFrame,
+    terms: DataFrame,
+    wins: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WINDOW,
+    slop: int = SLOP,
+    share: float = NEAR_SHARE,
+) -> DataFrame:
+    """``row, digest, item, item_digest``, distinct: documents that hold a window of the item nearly as it stands.
+
+    A window is near at a shift when its words, looked up in order, each at the first place after the one before
+    that is at most ``slop`` words from its own place under the shift, are found but for one minus ``share`` of
+    them.  Every shift of every window counts; exact occurrences are near too.
 
-    ``row, digest, item, item_digest, shift, i2, pos2, off``.  Positions meet in cells of ``slop + 1`` words and the
-    neighbouring cells, so a posting meets at most ``3 * (slop + 1)`` others.
+    Shifts are proposed by postings of rare places: a match has at least two of them within its slop
+    (:func:`_anchors`), so no match is missed.  Only the blocks of words around a proposed shift are gathered.
     """
-    rare = written(windows(terms, index, width), "rarest")
-    proposed = (
-        _proposed(index, rare)
-        .withColumn("want", F.col("shift") + F.col("i2"))
-        .withColumn("cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("want") / (slop + 1)) + d)))
-    )
-    seconds = _seconds(index, rare).withColumn("cell", F.floor(F.col("pos") / (slop + 1)))
-    off = F.col("pos") - F.col("want")
-    return (
-        proposed.join(seconds, [*KEY, "term2", "cell"])
-        .filter(F.abs(off) <= slop)
-        .select(*KEY, *ITEM, "shift", "i2", F.col("pos").alias("pos2"), off.alias("off"))
-        .distinct()
+    offsets = F.sequence(F.col("pos") - F.col("i") - slop, F.col("pos") - F.col("i") + slop)
+    anchors = small_or_not(written(_anchors(wins, share), "anchors"))
+    spread = index.join(anchors, "term").select(*KEY, *ITEM, "n", "i", F.explode(offsets).alias("s"))
+    near = spread.groupBy(*KEY, *ITEM, "n", "s").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    near = near.filter((F.col("lo") < F.col("hi")) | (F.least("n", F.lit(width)) == 1))
+    home = F.floor(F.col("s") / BLOCK)
+    grouped = near.groupBy(*KEY, *ITEM, "n", home.alias("home")).agg(F.collect_list(F.struct("s", "lo", "hi")).alias("shifts"))
+    grouped = written(grouped, "proposed")
+    held = _held(docs, grouped, id_col, text_col).filter(F.size("w") > 0)
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / BLOCK)), lambda b: F.slice("w", (b * BLOCK + 1).cast("int"), BLOCK))
+    blocks = held.select(*KEY, F.posexplode(cuts).alias("block", "part"))
+    first, last = F.floor((F.col("home") * BLOCK - slop) / BLOCK), F.floor(((F.col("home") + 1) * BLOCK + F.col("n") + slop) / BLOCK)
+    asked = grouped.withColumn("block", F.explode(F.sequence(first, last).cast("array<int>")))
+    region = (
+        asked.join(blocks, [*KEY, "block"])
+        .groupBy(*KEY, *ITEM, "n", "home")
+        .agg(F.sort_array(F.collect_set(F.struct("block", "part"))).alias("blocks"), F.first("shifts").alias("shifts"))
+        .select(
+            *KEY, *ITEM, "n", "shifts",
+            (F.col("blocks")[0]["block"] * BLOCK).alias("base"),
+            F.flatten("blocks.part").alias("said"),
+        )
     )
+    listed = terms.groupBy(*ITEM).agg(F.sort_array(F.collect_list(F.struct("i", "term")))["term"].alias("x"))
+    region = region.join(small_or_not(written(listed, "item-words")), ITEM)
+    size = F.least("n", F.lit(width))
+    need = F.ceil(F.round(size * F.lit(float(share)), 9))
+
+    def found(s: Column, start: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            # positions in the region, from 0
+            begin = F.greatest(acc["last"] + 1, s + i - slop - F.col("base"), F.lit(0))
+            width_left = F.greatest(s + i + slop - F.col("base") - begin + 1, F.lit(0))
+            at = F.array_position(F.slice("said", begin + 1, width_left), F.get("x", i)).cast("int")
+            return F.struct(
+                F.when(at > 0, begin + at - 1).otherwise(acc["last"]).alias("last"),
+                (acc["n"] + F.when(at > 0, 1).otherwise(0)).alias("n"),
+            )
+
+        zero = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(start, start + size - 1), zero, step)["n"]
+
+    def some_window(c: Column) -> Column:
+        # a window that holds two of the proposing places
+        lowest, highest = F.greatest(c["lo"] - size + 1, F.lit(0)), F.least(c["hi"], F.col("n") - size)
+        return F.exists(F.sequence(F.least(lowest, highest), highest), lambda start: found(c["s"], start) >= need)
+
+    return region.filter(F.exists("shifts", some_window)).select(*KEY, *ITEM).distinct()
 
 
 def contamination(
@@ -150,9 +241,14 @@ def contamination(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     width: int = WINDOW,
+    slop: int | None = None,
+    share: float = NEAR_SHARE,
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the text hash ``digest`` for every row.
 
+    With a ``slop`` also ``n_near, near_sha256``: items that stand in the document exactly or nearly, as
+    :func:`proximity_matches` defines it, counted and named like ``n_items, items_sha256``.  They decide nothing.
+
     Words are A-Z-lower-cased runs outside the ASCII marks.  A window is ``width`` consecutive words of an item;
     an item of fewer words, but not none, is one window.  A document word inside any occurrence of a window is
     hit; a document is contaminated when a twentieth of its words or more are hit.
@@ -163,8 +259,13 @@ def contamination(
     documents the result is empty, without items nothing is hit.  Other columns are not looked at.
     """
     terms = item_terms(items, item_id_col, item_text_col)
-    index = postings(docs, terms, id_col, text_col)
-    found = phrase_matches(index, terms, width)
+    wins = windows(terms, term_counts(docs, terms, text_col), width)
+    pairs = _pairs(wins)
+    chosen = pairs.select(F.col("term1").alias("term")).union(pairs.select("term2"))
+    if slop is not None:
+        chosen = chosen.union(_anchors(wins, share).select("term"))
+    index = postings(docs, chosen, id_col, text_col)
+    found = phrase_matches(docs, index, terms, wins, id_col, text_col, width)
     spans = F.sort_array(F.collect_set(F.struct("begin", "end")))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total"))
 
@@ -185,16 +286,26 @@ def contamination(
         )
     )
     hits = small_or_not(written(hits, "hits"))
-    rows = index.filter("pos < 0").select(*KEY, "n_words")
+    rows = index.filter("pos < 0").select(*KEY, "n_words").join(hits, KEY, "left")
+    near = []
+    if slop is not None:
+        by_row = proximity_matches(docs, index, terms, wins, id_col, text_col, width, slop, share).groupBy(*KEY)
+        by_row = by_row.agg(F.count_distinct("item.item_id").alias("n_near"), F.sha2(names, 256).alias("near"))
+        rows = rows.join(small_or_not(written(by_row, "near")), KEY, "left")
+        near = [
+            F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+            F.coalesce("near", F.sha2(F.lit(""), 256)).alias("near_sha256"),
+        ]
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     n_words = F.col("n_words").cast("long")
-    return rows.join(hits, KEY, "left").select(
+    return rows.select(
         F.col("row.id").alias("doc_id"),
         n_words.alias("n_words"),
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * MIN_SHARE >= n_words)).alias("contaminated"),
+        *near,
         "digest",
     )
 

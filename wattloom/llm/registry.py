@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from wattloom.llm import chat, language, merkle, sharding, spelling, tokens, toxicity, urllists
 from wattloom.llm.common import text_of
-from wattloom.llm.decontam import contamination
+from wattloom.llm.decontam import SLOP, contamination
 from wattloom.llm.exact_dedup import exact_duplicates
 from wattloom.llm.line_dedup import drop_repeated_lines
 from wattloom.llm.mixing import mix
@@ -68,7 +68,7 @@ def op5(spark, sf_dir):
 
 @query(
     "op4_decontamination",
-    rf"""WITH d AS (SELECT doc_id, list_filter(string_split_regex({LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+    rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex({LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM benchmark),
@@ -82,13 +82,26 @@ m AS (SELECT DISTINCT dw.doc_id, dw.size, dw.s, bw.item_id FROM dw JOIN bw ON dw
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit
   FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM m) GROUP BY doc_id),
 i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+bi AS (SELECT item_id, size, unnest(w) AS term, unnest(range(len(w))) AS i FROM n),
+di AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS p FROM d),
+c AS (SELECT doc_id, item_id, size, s FROM (SELECT doc_id, item_id, size, i, unnest(range(p - i - 3, p - i + 4)) AS s FROM di JOIN bi USING (term))
+  GROUP BY ALL HAVING count(DISTINCT i) >= ceil(round(size * 0.8, 9))),
+cw AS (SELECT c.*, n.w AS x, list_slice(d.w, greatest(s - 3, 0) + 1, s + len(n.w) + 3) AS v, greatest(s - 3, 0) AS base
+  FROM c JOIN n USING (item_id) JOIN d USING (doc_id)),
+walk AS (SELECT doc_id, item_id, size, s, x, v, base, unnest(range(len(x) - size + 1)) AS start, 0 AS i, 0::BIGINT AS next, 0 AS k FROM cw
+  UNION ALL SELECT doc_id, item_id, size, s, x, v, base, start, i + 1, CASE WHEN place > 0 THEN f + place ELSE next END, CASE WHEN place > 0 THEN k + 1 ELSE k END
+  FROM (SELECT *, coalesce(list_position(list_slice(v, f + 1, s + start + i + 3 - base + 1), x[start + i + 1]), 0) AS place
+    FROM (SELECT *, greatest(next, s + start + i - 3 - base, 0) AS f FROM walk WHERE i < size))),
+near AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM walk WHERE k >= ceil(round(size * 0.8, 9))) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated,
+  coalesce(n_near, 0) AS n_near, sha256(coalesce(names, '')) AS near_sha256
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN near USING (doc_id)""",
 )
 def op4(spark, sf_dir):
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
     return found.drop("digest")
 
 
