@@ -10,6 +10,7 @@ from wattloom.functions.quantities import epoch_seconds, step_seconds
 from wattloom.operators import labels as ops
 from wattloom.operators.counters import counter_steps
 from wattloom.operators.grid import LOOKBACK_SECONDS, grid_max, grid_sum
+from wattloom.sources.days import in_days
 
 WINDOW_COLUMNS = (
     "ts", "namespace", "workload_kind", "workload_name", "pod", "avg_power_w", "energy_step_j"
@@ -94,11 +95,15 @@ def labels_from_samples(
     """Labels from raw samples of three metrics.
 
     Which metrics are there is found out on the raw samples, a filtered scan that stops at
-    the first row, and not on the series made from them.
+    the first row, and not on the series made from them.  Samples laid out by day (``sources.days``)
+    are read from the days of the range and its look-back only.
     """
     first, width = epoch_seconds(start), step_seconds(step)
     last = first + (epoch_seconds(end) - first) // width * width
     grid = dict(start=start, end=end, step=step, ts=ts, lookback=lookback, **grid_args)
+    power, energy, owners = (
+        in_days(samples, first - lookback, last) if samples is not None else None for samples in (power, energy, owners)
+    )
 
     def present(samples: DataFrame | None, need_keys: bool = False) -> bool:
         if samples is None:

@@ -17,10 +17,11 @@ from wattloom.plans.labels import labels_from_samples
 from wattloom.plans.model import KnnModel
 from wattloom.plans.score import over_horizon, requests_of_documents, score_documents, score_requests
 from wattloom.plans.sparse_encoder import SparseEncoder
-from wattloom.registry.base import EV, events, grid_sql, query, r, span, table
+from wattloom.registry.base import EV, SQL, events, grid_sql, query, r, span, table
 from wattloom.registry.specs import FLAT_SQL, REQUESTS_SQL, _documents, part_requests, s
 from wattloom.schemas import accepted
 from wattloom.session import scratch_path, written
+from wattloom.sources.days import read_days, write_by_day
 from wattloom.sources.tables import read_table, write_predictions, write_table
 
 # --- encoder over customers and suppliers ---
@@ -440,9 +441,13 @@ def _samples(spark, sf):
     )
 
 
-def _labels(spark, sf, mode: str, timed_owners: bool) -> DataFrame:
+def _labels(spark, sf, mode: str, timed_owners: bool, by_day: bool = False) -> DataFrame:
     samples = _samples(spark, sf)
     lo, hi = span(samples)
+    if by_day:
+        path = scratch_path(spark, "samples")
+        write_by_day(samples, path, "t", ["container_namespace", "pod_name"])
+        samples = read_days(spark, path)
     metric = lambda *kinds: samples.filter(F.col("event_type").isin(*kinds))
     owners = metric("error")
     dump = owners.select(
@@ -466,6 +471,15 @@ def label_builder(spark, sf):
     return out.withColumns({c: F.round(c, 4) for c in ("avg_power_w", "energy_step_j")})
 
 
+@query("label_builder_by_day", SQL["label_builder"])
+def label_builder_by_day(spark, sf):
+    """The same labels from samples laid out by day, and laid out by day themselves."""
+    path = scratch_path(spark, "labels")
+    write_by_day(_labels(spark, sf, "window", timed_owners=True, by_day=True), path, keys=["namespace", "pod"])
+    out = read_days(spark, path).drop("day")
+    return out.withColumns({c: F.round(c, 4) for c in ("avg_power_w", "energy_step_j")})
+
+
 @query(
     "label_builder_job",
     f"""WITH {SAMPLES_SQL}, {JOB_SQL} SELECT * REPLACE (round(avg_power_w, 4) AS avg_power_w, round(total_energy_j, 4) AS total_energy_j) FROM jobs""",
