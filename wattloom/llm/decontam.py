@@ -90,10 +90,12 @@ def _anchors(wins: DataFrame, share: float) -> DataFrame:
     """``item.., n, i, term``: of every window so many rarest places that two of them are in any match.
 
     A match lacks ``size - need`` words at most, so of ``size - need + 2`` places it has two (of one place, one).
+    Windows with more words than that which no document has match nowhere and name none.
     """
     chosen = F.slice("p", 1, F.size("p") - _need(share) + 2)
     return (
-        wins.select(*ITEM, "n", F.explode(chosen).alias("place"))
+        wins.filter(F.get("p", F.size("p") - _need(share))["count"] > 0)
+        .select(*ITEM, "n", F.explode(chosen).alias("place"))
         .filter("place.count > 0")
         .select(*ITEM, "n", "place.i", "place.term")
         .distinct()
@@ -163,6 +165,76 @@ def phrase_matches(
     return runs.select(*KEY, *ITEM, "begin", (F.col("begin") + F.col("length")).alias("end"))
 
 
+def _proposed(index: DataFrame, anchors: DataFrame, width: int, slop: int) -> DataFrame:
+    """``row, digest, item, item_digest, n, band, lo, hi``: bands of shifts with two rare places, first and last of them.
+
+    A place at ``d`` (its position minus its place in the item) supports the shifts within ``slop`` of ``d``.  Band
+    ``b`` holds the ``2 * slop + 1`` shifts from ``b * (2 * slop + 1) + slop``; what supports them lies in it or the
+    band before, so a posting gives two rows, not one for each shift.
+    """
+    span = 2 * slop + 1
+    d = F.col("pos") - F.col("i")
+    own = F.floor(d / span)
+    bands = F.when(F.pmod(d, F.lit(span)) < 2 * slop, F.array(own - 1, own)).otherwise(F.array(own))
+    spread = index.join(anchors, "term").select(*KEY, *ITEM, "n", "i", F.explode(bands).alias("band"))
+    ranges = spread.groupBy(*KEY, *ITEM, "n", "band").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
+    return ranges.filter((F.col("lo") < F.col("hi")) | (F.least("n", F.lit(width)) == 1))
+
+
+def _asked_blocks(first: Column, last: Column) -> Column:
+    """Numbers of the blocks of words from position ``first`` to ``last``."""
+    return F.explode(F.sequence(F.floor(F.greatest(first, F.lit(0)) / BLOCK), F.floor(F.greatest(last, F.lit(0)) / BLOCK)))
+
+
+def _hopeful(
+    index: DataFrame,
+    proposed: DataFrame,
+    terms: DataFrame,
+    wins: DataFrame,
+    vocabulary: DataFrame,
+    share: float,
+    width: int,
+    slop: int,
+) -> DataFrame:
+    """``row, digest, item, item_digest, n, band, starts``: windows of which enough places stand in the index.
+
+    All places of a window whose terms the index has are looked at.  A match lacks ``size - need`` words at most, so
+    it has all but so many of these; words that no document has are lacking, words without postings may be there.
+    """
+    span = 2 * slop + 1
+    size = F.least("n", F.lit(width))
+    low = F.col("band") * span
+    asked = proposed.withColumn("block", _asked_blocks(low + F.col("lo") - size + 1, low + 4 * slop + F.col("hi") + size - 1))
+    asked = asked.select(*KEY, *ITEM, "n", "band", "block")
+    posted = index.filter("pos >= 0").select(*KEY, "pos", "term", F.floor(F.col("pos") / BLOCK).alias("block"))
+    places = small_or_not(written(terms.join(vocabulary, "term", "left_semi").select(*ITEM, "i", "term"), "places"))
+    offset = F.col("pos") - F.col("i") - low
+    seen = (
+        posted.join(asked, [*KEY, "block"])
+        .join(places, [*ITEM, "term"])
+        .filter((offset >= 0) & (offset <= 4 * slop))
+        .groupBy(*KEY, *ITEM, "n", "band")
+        .agg(F.collect_set("i").alias("there"))
+    )
+    least = (
+        wins.withColumn("need", _need(share))
+        .select(*ITEM, "start", "need", F.explode("p").alias("place"))
+        .select(*ITEM, "start", "need", "place.count", "place.term")
+        .join(vocabulary.withColumn("posted", F.lit(True)), "term", "left")
+        .groupBy(*ITEM, "start", "need")
+        .agg(F.count_if(F.col("posted").isNull() & (F.col("count") > 0)).cast("int").alias("unposted"))
+        .select(*ITEM, F.struct("start", (F.col("need") - F.col("unposted")).alias("least")).alias("window"))
+    )
+    least = small_or_not(written(least.groupBy(*ITEM).agg(F.collect_list("window").alias("least")), "least"))
+
+    def enough(w: Column) -> Column:
+        inside = F.filter("there", lambda i: (i >= w["start"]) & (i < w["start"] + size))
+        return F.size(inside) >= F.greatest(w["least"], F.lit(1))
+
+    starts = F.transform(F.filter("least", enough), lambda w: w["start"])
+    return seen.join(least, ITEM).select(*KEY, *ITEM, "n", "band", starts.alias("starts")).filter(F.size("starts") > 0)
+
+
 def proximity_matches(
     docs: DataFrame,
     index: DataFrame,
@@ -173,49 +245,53 @@ def proximity_matches(
     width: int = WINDOW,
     slop: int = SLOP,
     share: float = NEAR_SHARE,
+    exact: DataFrame | None = None,
 ) -> DataFrame:
     """``row, digest, item, item_digest``, distinct: documents that hold a window of the item nearly as it stands.
 
     A window is near at a shift when its words, looked up in order, each at the first place after the one before
     that is at most ``slop`` words from its own place under the shift, are found but for one minus ``share`` of
-    them.  Every shift of every window counts; exact occurrences are near too.
+    them.  Every shift of every window counts; exact occurrences are near too, so the pairs of ``exact`` (the same
+    columns, distinct), if given, are in the result without another look.
 
     Shifts are proposed by postings of rare places: a match has at least two of them within its slop
-    (:func:`_anchors`), so no match is missed.  Only the blocks of words around a proposed shift are gathered.
+    (:func:`_anchors`).  Of these, only windows with enough places in the index (:func:`_hopeful`) are laid against
+    the words of the document.  Both conditions hold for every match, so none is missed.
     """
-    offsets = F.sequence(F.col("pos") - F.col("i") - slop, F.col("pos") - F.col("i") + slop)
-    anchors = small_or_not(written(_anchors(wins, share), "anchors"))
-    spread = index.join(anchors, "term").select(*KEY, *ITEM, "n", "i", F.explode(offsets).alias("s"))
-    near = spread.groupBy(*KEY, *ITEM, "n", "s").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-    near = near.filter((F.col("lo") < F.col("hi")) | (F.least("n", F.lit(width)) == 1))
-    home = F.floor(F.col("s") / BLOCK)
-    grouped = near.groupBy(*KEY, *ITEM, "n", home.alias("home")).agg(F.collect_list(F.struct("s", "lo", "hi")).alias("shifts"))
-    grouped = written(grouped, "proposed")
-    held = _held(docs, grouped, id_col, text_col).filter(F.size("w") > 0)
+    span = 2 * slop + 1
+    anchors = written(_anchors(wins, share), "anchors")
+    vocabulary = small_or_not(written(anchors.select("term").distinct(), "anchor-terms"))
+    proposed = _proposed(index, small_or_not(anchors), width, slop)
+    if exact is not None:
+        proposed = proposed.join(small_or_not(exact), [*KEY, *ITEM], "left_anti")
+    proposed = small_or_not(written(proposed, "proposed"))
+    hopeful = written(_hopeful(index, proposed, terms, wins, vocabulary, share, width, slop), "hopeful")
+    held = _held(docs, hopeful, id_col, text_col).filter(F.size("w") > 0)
     cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / BLOCK)), lambda b: F.slice("w", (b * BLOCK + 1).cast("int"), BLOCK))
     blocks = held.select(*KEY, F.posexplode(cuts).alias("block", "part"))
-    first, last = F.floor((F.col("home") * BLOCK - slop) / BLOCK), F.floor(((F.col("home") + 1) * BLOCK + F.col("n") + slop) / BLOCK)
-    asked = grouped.withColumn("block", F.explode(F.sequence(first, last).cast("array<int>")))
+    size = F.least("n", F.lit(width))
+    low = F.col("band") * span
+    asked = hopeful.withColumn("block", _asked_blocks(low + F.array_min("starts"), low + 4 * slop + F.array_max("starts") + size))
     region = (
-        asked.join(blocks, [*KEY, "block"])
-        .groupBy(*KEY, *ITEM, "n", "home")
-        .agg(F.sort_array(F.collect_set(F.struct("block", "part"))).alias("blocks"), F.first("shifts").alias("shifts"))
+        asked.withColumn("block", F.col("block").cast("int"))
+        .join(blocks, [*KEY, "block"])
+        .groupBy(*KEY, *ITEM, "n", "band")
+        .agg(F.sort_array(F.collect_set(F.struct("block", "part"))).alias("blocks"), F.first("starts").alias("starts"))
         .select(
-            *KEY, *ITEM, "n", "shifts",
+            *KEY, *ITEM, "n", "band", "starts",
             (F.col("blocks")[0]["block"] * BLOCK).alias("base"),
             F.flatten("blocks.part").alias("said"),
         )
     )
     listed = terms.groupBy(*ITEM).agg(F.sort_array(F.collect_list(F.struct("i", "term")))["term"].alias("x"))
     region = region.join(small_or_not(written(listed, "item-words")), ITEM)
-    size = F.least("n", F.lit(width))
     need = F.ceil(F.round(size * F.lit(float(share)), 9))
 
     def found(s: Column, start: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             # positions in the region, from 0
-            begin = F.greatest(acc["last"] + 1, s + i - slop - F.col("base"), F.lit(0))
-            width_left = F.greatest(s + i + slop - F.col("base") - begin + 1, F.lit(0))
+            begin = F.greatest(acc["last"] + 1, (s + i - slop - F.col("base")).cast("int"), F.lit(0))
+            width_left = F.greatest((s + i + slop - F.col("base")).cast("int") - begin + 1, F.lit(0))
             at = F.array_position(F.slice("said", begin + 1, width_left), F.get("x", i)).cast("int")
             return F.struct(
                 F.when(at > 0, begin + at - 1).otherwise(acc["last"]).alias("last"),
@@ -225,12 +301,10 @@ def proximity_matches(
         zero = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n"))
         return F.aggregate(F.sequence(start, start + size - 1), zero, step)["n"]
 
-    def some_window(c: Column) -> Column:
-        # a window that holds two of the proposing places
-        lowest, highest = F.greatest(c["lo"] - size + 1, F.lit(0)), F.least(c["hi"], F.col("n") - size)
-        return F.exists(F.sequence(F.least(lowest, highest), highest), lambda start: found(c["s"], start) >= need)
-
-    return region.filter(F.exists("shifts", some_window)).select(*KEY, *ITEM).distinct()
+    shifts = F.sequence(low + slop, low + 3 * slop)
+    holds = F.exists(shifts, lambda s: F.exists("starts", lambda start: found(s, start) >= need))
+    near = region.filter(holds).select(*KEY, *ITEM).distinct()
+    return near if exact is None else near.union(exact.select(*KEY, *ITEM))
 
 
 def contamination(
@@ -265,7 +339,7 @@ def contamination(
     if slop is not None:
         chosen = chosen.union(_anchors(wins, share).select("term"))
     index = postings(docs, chosen, id_col, text_col)
-    found = phrase_matches(docs, index, terms, wins, id_col, text_col, width)
+    found = written(phrase_matches(docs, index, terms, wins, id_col, text_col, width), "found")
     spans = F.sort_array(F.collect_set(F.struct("begin", "end")))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total"))
 
@@ -289,8 +363,9 @@ def contamination(
     rows = index.filter("pos < 0").select(*KEY, "n_words").join(hits, KEY, "left")
     near = []
     if slop is not None:
-        by_row = proximity_matches(docs, index, terms, wins, id_col, text_col, width, slop, share).groupBy(*KEY)
-        by_row = by_row.agg(F.count_distinct("item.item_id").alias("n_near"), F.sha2(names, 256).alias("near"))
+        exact = written(found.select(*KEY, *ITEM).distinct(), "exact")
+        by_row = proximity_matches(docs, index, terms, wins, id_col, text_col, width, slop, share, exact)
+        by_row = by_row.groupBy(*KEY).agg(F.count_distinct("item.item_id").alias("n_near"), F.sha2(names, 256).alias("near"))
         rows = rows.join(small_or_not(written(by_row, "near")), KEY, "left")
         near = [
             F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
