@@ -265,16 +265,16 @@ def proximity_matches(
     if exact is not None:
         proposed = proposed.join(small_or_not(exact), [*KEY, *ITEM], "left_anti")
     proposed = small_or_not(written(proposed, "proposed"))
-    hopeful = written(_hopeful(index, proposed, terms, wins, vocabulary, share, width, slop), "hopeful")
-    held = _held(docs, hopeful, id_col, text_col).filter(F.size("w") > 0)
-    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / BLOCK)), lambda b: F.slice("w", (b * BLOCK + 1).cast("int"), BLOCK))
-    blocks = held.select(*KEY, F.posexplode(cuts).alias("block", "part"))
     size = F.least("n", F.lit(width))
     low = F.col("band") * span
+    hopeful = _hopeful(index, proposed, terms, wins, vocabulary, share, width, slop)
     asked = hopeful.withColumn("block", _asked_blocks(low + F.array_min("starts"), low + 4 * slop + F.array_max("starts") + size))
+    asked = written(asked.withColumn("block", F.col("block").cast("int")), "asked")
+    held = _held(docs, asked, id_col, text_col).filter(F.size("w") > 0)
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / BLOCK)), lambda b: F.slice("w", (b * BLOCK + 1).cast("int"), BLOCK))
+    blocks = held.select(*KEY, F.posexplode(cuts).alias("block", "part"))
     region = (
-        asked.withColumn("block", F.col("block").cast("int"))
-        .join(blocks, [*KEY, "block"])
+        blocks.join(small_or_not(asked), [*KEY, "block"])
         .groupBy(*KEY, *ITEM, "n", "band")
         .agg(F.sort_array(F.collect_set(F.struct("block", "part"))).alias("blocks"), F.first("starts").alias("starts"))
         .select(
