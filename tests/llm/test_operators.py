@@ -156,6 +156,18 @@ def test_contamination(spark, none):
     assert {r["n_hit"] for r in decontam.contamination(documents(spark, given), items.limit(0)).collect()} == {0}
 
 
+def test_drop_contaminated_awkward_rows(spark):
+    passage = " ".join(f"w{i}" for i in range(13))
+    given = [(1, passage, 0), (1, passage, 0), (1, "clean", 1), (None, passage, 2), (None, "clean", 3), (4, None, 4), (5, "", 5)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, __digest int")
+    items = spark.createDataFrame([("q", passage), (None, None)], "item_id string, text string")
+    left = decontam.drop_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(r["__digest"] for r in left.collect()) == [1, 3, 4, 5]
+    assert decontam.drop_contaminated(docs, items.limit(0)).count() == len(given)
+    assert decontam.drop_contaminated(docs.limit(0), items).count() == 0
+
+
 def nearly(text, passage, slop, share=0.8, width=13):
     """Plain form: every shift of every window, words looked up in order."""
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))

@@ -386,7 +386,12 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without contaminated rows; all columns stay."""
+    """``docs`` without contaminated rows; all columns stay.
+
+    A row is judged by its own id and text: repeated rows go or stay together, rows of one id but other texts each by
+    their own, rows with a null id too.  Null and empty texts stay.  Columns may have any names; without documents
+    the result is empty, without items all stay.
+    """
     key_id, key_digest = unused(docs, "__id", "__digest")
     bad = contamination(docs, items, id_col, text_col).filter("contaminated").select("doc_id", "digest").distinct()
     bad = small_or_not(written(bad, "contaminated")).toDF(key_id, key_digest)

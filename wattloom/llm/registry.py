@@ -163,7 +163,7 @@ def op8(spark, sf_dir):
     scored = toxicity.score(docs.select("doc_id", "text"), net)
     return scored.select(
         "doc_id",
-        toxicity.is_held_out().alias("held_out"),
+        F.coalesce(toxicity.is_held_out(), F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
