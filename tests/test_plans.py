@@ -91,6 +91,20 @@ def test_encoder_with_text(flat):
     assert {tuple(r["features"][11:]) for r in own.transform(flat).collect()} == {(np.float32(0.6).item(), np.float32(0.8).item())}
 
 
+def test_text_model_is_known_by_its_name(spark, flat, tmp_path):
+    def made(name, value):
+        model = lambda: lambda texts: [[value, 1.0]] * len(texts)
+        model.model_name = name
+        return model
+
+    path = str(tmp_path / "named")
+    Encoder.fit(flat, text_dim=2, text_model=made("one", 1.0)).save(spark, path)
+    assert Encoder.load(spark, path, made("one", 1.0)).length == 13
+    for other in (made("two", 2.0), None):
+        with pytest.raises(ValueError):
+            Encoder.load(spark, path, other)
+
+
 @pytest.fixture(scope="module")
 def series(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("series")

@@ -145,5 +145,11 @@ class Encoder:
 
 
 def _model_name(text_model: Callable | None) -> str | None:
-    """What an artifact says about the text model it was fitted with; nothing for hashed words."""
-    return None if text_model is None else getattr(text_model, "__qualname__", type(text_model).__name__)
+    """What an artifact says about the text model it was fitted with; nothing for hashed words.
+
+    A ``model_name`` set on the function counts; without one its qualified name, which functions made in one place share.
+    """
+    if text_model is None:
+        return None
+    name = getattr(text_model, "model_name", None)
+    return name or getattr(text_model, "__qualname__", type(text_model).__name__)
