@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,3 +352,30 @@ def test_previous_row_of_busy_keys(spark, kind):
     assert got == want
     sizes = in_segments(df, ["k"], ["t", "id"], 50).groupBy("__segment").count()
     assert sizes.agg(F.max("count")).first()[0] == 50
+
+
+def test_close_queries_meet_close_entries_only(monkeypatch):
+    r = np.random.default_rng(7)
+    v = np.column_stack([r.normal(size=(4000, 2)), np.eye(6)[r.integers(0, 6, 4000)]])
+    entries = pd.DataFrame({"features": list(v), "exclude": np.nan, "ids": [[i] for i in range(4000)], "ys": [[1.0]] * 4000})
+    block, met, products = knn.Block(entries, 5), [], knn.Block._products
+    monkeypatch.setattr(knn.Block, "_products", lambda self, q, x, c: met.append(products(self, q, x, c)) or met[-1])
+    asked = np.concatenate([v[:1000], v[:1000]])  # equal queries are searched once
+    row, ids, _, _ = block.search(list(asked))
+    assert sum(m.size for m in met) < 0.5 * 1000 * 4000
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = np.argsort(np.square(unit[:1000, None] - unit[None]).sum(axis=2), axis=1, kind="stable")[:, :5]
+    assert (ids.reshape(2000, 5)[:1000] == want).all() and (ids.reshape(2000, 5)[1000:] == want).all()
+
+
+def test_a_query_goes_to_a_shard_once(spark, monkeypatch):
+    """However many cells are met, queries are not repeated per cell; no entry counts twice."""
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, x.tolist(), float(i)) for i, x in enumerate(r.normal(size=(600, 16)))], "id bigint, v array<double>, y double")
+    cut, shards = [], cells.CellIndex._shards
+    monkeypatch.setattr(cells.CellIndex, "_shards", lambda self, *a: cut.append(shards(self, *a)) or cut[-1])
+    searcher = knn.Searcher(knn.training_entries(df, "v", "id", "y"), 5, knn.Limits(0, 16, 50))
+    got = {x["id"]: x["neighbours"]["ids"] for x in searcher.search(df, "v").collect()}
+    assert len(searcher.index.cells) > 30 and all(p["shard"].nunique() <= 2 for p, _ in cut)
+    plain = {x["id"]: x["neighbours"]["ids"] for x in knn.with_neighbours(df, searcher.entries, 5, "v").collect()}
+    assert got == plain
