@@ -356,7 +356,7 @@ def test_previous_row_of_busy_keys(spark, kind):
 
 def test_close_queries_meet_close_entries_only(monkeypatch):
     r = np.random.default_rng(7)
-    v = np.column_stack([r.normal(size=(4000, 2)), np.eye(6)[r.integers(0, 6, 4000)]])
+    v = r.normal(size=(40, 8))[r.integers(0, 40, 4000)] + r.normal(scale=0.01, size=(4000, 8))
     entries = pd.DataFrame({"features": list(v), "exclude": np.nan, "ids": [[i] for i in range(4000)], "ys": [[1.0]] * 4000})
     block, met, products = knn.Block(entries, 5), [], knn.Block._products
     monkeypatch.setattr(knn.Block, "_products", lambda self, q, x, c: met.append(products(self, q, x, c)) or met[-1])
