@@ -13,7 +13,8 @@ from wattloom.operators.grid import grid_max, grid_sum, on_grid
 from wattloom.operators.requests import allow, live_events
 from wattloom.registry.base import EV, events, grid_sql, query, r, span, table
 
-from wattloom.session import scratch_path
+from wattloom.session import scratch_path, written
+from wattloom.sources.items import write_one_list
 from wattloom.sources.series import RESPONSE_DDL, flatten_series, read_large_response
 
 STEP_SQL = f"""WITH {EV}, w AS (
@@ -486,13 +487,8 @@ def matrix_flatten(spark, sf):
 def matrix_flatten_one_file(spark, sf):
     """All series in one response in one file, which is cut by bytes."""
     path = scratch_path(spark, "one-response")
-    series = _series(spark, sf)
-    first = F.col("event_id") == series.agg(F.min("event_id")).first()[0]
-    line = F.concat(F.when(first, "").otherwise(","), F.to_json("s"))
-    rows = series.select((F.col("event_id") + 1).alias("n"), line.alias("value"))
-    ends = [(-1, '{"status":"success","data":{"result":['), (1 << 40, "]}}")]
-    rows = rows.unionByName(spark.createDataFrame(ends, "n long, value string"))
-    rows.coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    series = written(_series(spark, sf).select(F.to_json("s").alias("value")), "series")
+    write_one_list(series, '{"status":"success","data":{"result":[', "]}}", path)
     return flatten_series(read_large_response(spark, path), ["id", "namespace", "pod"])
 
 

@@ -11,8 +11,9 @@ from wattloom.operators.requests import first_documents, live_events, object_req
 from wattloom.plans.score import requests_of_documents
 from wattloom.registry.base import query, r, table
 from wattloom.schemas import REJECT, accepted, rejected
-from wattloom.session import scratch_path
+from wattloom.session import scratch_path, spread, written
 from wattloom.sources.manifests import read_documents
+from wattloom.sources.items import write_one_list
 from wattloom.sources.objects import read_changes, read_dump, read_large_dump
 from wattloom.sources.tables import append_requests, read_requests
 
@@ -301,13 +302,8 @@ def _dump(spark, sf: str) -> DataFrame:
 def pod_requests_one_file(spark, sf):
     """The same objects as one list in one file, which is cut by bytes."""
     path = scratch_path(spark, "one-dump")
-    pods = manifests(spark, sf, pods=True).select("object")
-    least = pods.agg(F.min("object")).first()[0]
-    line = F.concat(F.when(F.col("object") == least, "").otherwise(","), F.col("object"))
-    rows = pods.select(F.lit(1).alias("n"), "object", line.alias("value"))
-    ends = [(0, "", '{"kind":"PodList","items":['), (2, "", "]}")]
-    rows = rows.unionByName(spark.createDataFrame(ends, "n int, object string, value string"))
-    rows.coalesce(1).sortWithinPartitions("n", "object").select("value").write.text(path)
+    pods = written(manifests(spark, sf, pods=True).select(F.col("object").alias("value")), "pods")
+    write_one_list(pods, '{"kind":"PodList","items":[', "]}", path)
     return _columns(accepted(object_requests(read_large_dump(spark, path), kinds=["Pod"])))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -66,3 +67,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, rows_per_task: int = 5_000) -> DataFrame:
+    """``df`` dealt evenly over tasks of about so many rows: for small files whose rows make much work each.
+
+    Spark cuts files by bytes, so a million narrow rows would stay in one or two tasks.
+    """
+    tasks = math.ceil(df.count() / rows_per_task)
+    return df.repartition(tasks) if tasks > 1 else df

@@ -96,3 +96,24 @@ def read_items(spark: SparkSession, path: str, name: str, level: int) -> DataFra
     kinds = outside.groupBy("file").agg(F.max(kind).alias("kind"))  # from the few pieces around the array
     items = split.filter(F.col("whole") & F.col("item").startswith("{") & F.get_json_object("item", "$").isNotNull())
     return items.join(kinds, "file", "left").select("file", "kind", "item")
+
+
+def write_one_list(members: DataFrame, head: str, tail: str, path: str) -> None:
+    """``value`` (the JSON text of a member) of all rows as one list in one file, in any order, between ``head`` and ``tail``.
+
+    One task writes the file and holds a batch at a time; nothing is sorted.  ``members`` should be read from a
+    table, since what is computed here is computed by that task.
+    """
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+        comma = ""
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t is not None]
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array([comma + texts[0], *("," + t for t in texts[1:])])], names=["value"])
+                comma = ","
+        yield pa.RecordBatch.from_arrays([pa.array([tail])], names=["value"])
+
+    one = members.sparkSession.createDataFrame([(None,)], "value string")  # so that there is a task where there are no rows
+    members.select("value").unionByName(one).coalesce(1).mapInArrow(lines, "value string").write.text(path)
