@@ -317,6 +317,14 @@ def owners(spark, sf):
     return owner_map(_dump(spark, sf))
 
 
+def part_events(spark, sf: str) -> DataFrame:
+    """Every event as a change of the part's manifest of its user's number."""
+    kind = _branch(F.col("event_type"), {"click": "ADDED", "view": "MODIFIED"}, "DELETED")
+    ev = table(spark, sf, "events").select("event_id", "user_id", kind.alias("type"), "ts")
+    # shuffled: Spark takes the size of manifests for that of the part table, and would send all of them to the driver
+    return ev.join(manifests(spark, sf).hint("merge"), F.col("user_id") == F.col("p_partkey"))
+
+
 @query(
     "change_requests",
     f"""WITH {REQUESTS_SQL}, x AS (SELECT r.*, event_id FROM events JOIN r ON r.p_partkey = user_id
@@ -326,9 +334,7 @@ SELECT event_id, {COLUMNS_SQL} FROM x""",
 def change_requests(spark, sf):
     """Change events read from JSON lines; kinds and namespaces by list, deletions ignored."""
     path = scratch_path(spark, "changes")
-    kind = _branch(F.col("event_type"), {"click": "ADDED", "view": "MODIFIED"}, "DELETED")
-    ev = table(spark, sf, "events").select("event_id", "user_id", kind.alias("type"), "ts")
-    rows = ev.join(manifests(spark, sf), F.col("user_id") == F.col("p_partkey"))
+    rows = part_events(spark, sf)
     line = F.concat(
         F.lit('{"type":"'), F.col("type"), F.lit('","ts":"'), s("ts"), F.lit('","object":'),
         F.regexp_replace("object", r'"metadata":\{"namespace"', F.concat(F.lit('"metadata":{"resourceVersion":"'), s("event_id"), F.lit('","namespace"'))),
