@@ -1,5 +1,7 @@
 """Plans that must keep their shape, so that they hold at any size."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +10,9 @@ from wattloom.operators import knn
 from wattloom.operators.counters import counter_steps
 from wattloom.operators.grid import on_grid
 from wattloom.operators.labels import with_owner
-from wattloom.registry import QUERIES
-from wattloom.session import scratch_path, scratch_root
+from wattloom.registry import QUERIES, specs
+from wattloom.session import scratch_path, scratch_root, spread
+from wattloom.sources import items
 
 
 def plan(df):
@@ -74,3 +77,27 @@ def test_tasks_follow_the_work(spark):
 def test_scratch_follows_the_session(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_rows_that_make_much_work_are_spread(spark):
+    """A file of few bytes stays in one task otherwise."""
+    narrow = spark.range(0, 20_000, 1, 1)
+    assert spread(narrow).rdd.getNumPartitions() == 4
+    assert spread(narrow.limit(10)).rdd.getNumPartitions() == 1
+
+
+def test_manifests_are_not_sent_to_the_driver(spark):
+    """Their size is not that of the part table they are made from."""
+    text = plan(specs.part_events(spark, SF))
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+def test_one_list_is_written_without_a_sort(spark):
+    path = scratch_path(spark, "list")
+    rows = spark.range(0, 5000, 1, 6).select(F.to_json(F.struct("id")).alias("value"))
+    items.write_one_list(rows, '{"kind":"NList","items":[', "]}", path)
+    files = spark.read.text(path, wholetext=True).collect()
+    assert len(files) == 1 and sorted(x["id"] for x in json.loads(files[0][0])["items"]) == list(range(5000))
+    empty = scratch_path(spark, "list")
+    items.write_one_list(rows.filter("false"), "[", "]", empty)
+    assert json.loads(spark.read.text(empty, wholetext=True).first()[0]) == []

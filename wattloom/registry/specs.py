@@ -158,8 +158,8 @@ def _container(name: Column, extra: dict[str, Column]) -> Column:
     return F.struct(name.alias("name"), image.alias("image"), *[v.alias(k) for k, v in extra.items()])
 
 
-def manifests(spark, sf: str, pods: bool = False) -> DataFrame:
-    """(p_partkey, object): the part's workload as manifest JSON, quantities written in several ways.
+def manifests(spark, sf: str, pods: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(p_partkey, object) and ``keep``: the part's workload as manifest JSON, quantities written in several ways.
 
     The processor limit is a bare number, 0 for some, which means "not set".
     """
@@ -193,11 +193,11 @@ def manifests(spark, sf: str, pods: bool = False) -> DataFrame:
     template = F.concat(F.lit('{"metadata":'), labels, F.lit(',"spec":'), pod_spec, F.lit("}"))
     namespace = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
     name = F.concat(F.lit("part"), s("p_partkey"))
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"))  # a short row makes a whole manifest
     if pods:
         owners = _branch(n % 3, {0: F.array(F.struct(F.lit("ReplicaSet").alias("kind"), F.concat(name, F.lit("-0123456789")).alias("name")))})
         meta = F.to_json(F.struct(namespace.alias("namespace"), name.alias("name"), owners.alias("owner_references")))
-        return part.select("p_partkey", F.concat(F.lit('{"metadata":'), meta, F.lit(',"spec":'), pod_spec, F.lit("}")).alias("object"))
+        return part.select("p_partkey", *keep, F.concat(F.lit('{"metadata":'), meta, F.lit(',"spec":'), pod_spec, F.lit("}")).alias("object"))
     meta = F.to_json(F.struct(namespace.alias("namespace"), name.alias("name")))
     kind = _branch(n % 3, {0: "Deployment", 1: "Job"}, "CronJob")
     spec = (
@@ -206,7 +206,7 @@ def manifests(spark, sf: str, pods: bool = False) -> DataFrame:
         .otherwise(F.concat(F.lit('{"jobTemplate":{"spec":{"template":'), template, F.lit("}}}")))
     )
     return part.select(
-        "p_partkey",
+        "p_partkey", *keep,
         F.concat(F.lit('{"kind":"'), kind, F.lit('","metadata":'), meta, F.lit(',"spec":'), spec, F.lit("}")).alias("object"),
     )
 
@@ -388,8 +388,7 @@ SELECT {COLUMNS_SQL} FROM f""",
 def first_manifest(spark, sf):
     """Manifests as the documents of one file per brand: only the first of each file is read."""
     text = F.concat(F.lit("# part\n"), F.col("object"))
-    docs = manifests(spark, sf).join(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey")
-    docs = docs.select(F.col("p_brand").alias("file"), F.lit(0).cast("bigint").alias("at"), F.col("p_partkey").alias("n"), text.alias("text"))
+    docs = manifests(spark, sf, keep=("p_brand",)).select(F.col("p_brand").alias("file"), F.lit(0).cast("bigint").alias("at"), F.col("p_partkey").alias("n"), text.alias("text"))
     return _columns(accepted(requests_of_documents(docs, first_only=True)))
 
 
