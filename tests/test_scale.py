@@ -1,17 +1,21 @@
 """Plans that must keep their shape, so that they hold at any size."""
 
 import json
+import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from wattloom.operators import knn
+from wattloom.operators.cells import CellIndex
 from wattloom.operators.counters import counter_steps
 from wattloom.operators.grid import on_grid
 from wattloom.operators.labels import with_owner
 from wattloom.registry import QUERIES, specs
-from wattloom.session import scratch_path, scratch_root, spread
+from wattloom.session import configure, scratch_path, scratch_root, spread
 from wattloom.sources import items
 
 
@@ -101,3 +105,39 @@ def test_one_list_is_written_without_a_sort(spark):
     empty = scratch_path(spark, "list")
     items.write_one_list(rows.filter("false"), "[", "]", empty)
     assert json.loads(spark.read.text(empty, wholetext=True).first()[0]) == []
+
+
+def test_python_workers_are_shared_by_functions_and_local_rows(spark):
+    """Workers of one parent process; each parent keeps a worker per core.  ``createDataFrame`` of a list runs in them too."""
+    rows = configure(spark).range(0, 8, 1, 2)
+    parents = rows.mapInPandas(lambda batches: (pd.DataFrame({"p": [os.getppid()]}) for _ in batches), "p long")
+    local = spark.sparkContext.parallelize(range(8), 2).map(lambda _: os.getppid())
+    assert len({r["p"] for r in parents.collect()} | set(local.collect())) == 1
+
+
+def test_cells_of_a_query_are_looked_up_once(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    seen, other = spark.sparkContext.accumulator(0), CellIndex._other_cells
+
+    def counted(self):
+        inside = other(self).func
+
+        @F.pandas_udf("array<int>")
+        def look(vectors: pd.Series, bound: pd.Series, met: pd.Series) -> pd.Series:
+            seen.add(len(vectors))
+            return inside(vectors, bound, met)
+
+        return look
+
+    monkeypatch.setattr(CellIndex, "_other_cells", counted)
+    entries = knn.training_entries(df, "embedding", "vec_id", "label")
+    knn.with_neighbours(df, entries, features="embedding", limits=knn.Limits(0, 64, 200)).count()
+    assert seen.value == df.count()
+
+
+def test_queries_of_a_meeting_are_bounded():
+    """Eight cells in one shard, each met by other queries."""
+    cells = pd.DataFrame({"cell": range(8), "blocks": 1, "n": 10, "free": 10, "low": [[0.0]] * 8, "high": [[1.0]] * 8})
+    index = CellIndex(None, cells, np.eye(8), 8, knn.Limits(meet_bytes=8 * 8 * 100))
+    pieces, tasks = index._shards(np.full(8, 100), 800, 1)
+    assert pieces["shard"].nunique() == 1 and tasks >= 800 / 100
