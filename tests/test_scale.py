@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,15 @@ def test_queries_of_a_meeting_are_bounded():
     index = CellIndex(None, cells, np.eye(8), 8, knn.Limits(meet_bytes=8 * 8 * 100))
     pieces, tasks = index._shards(np.full(8, 100), 800, 1)
     assert pieces["shard"].nunique() == 1 and tasks >= 800 / 100
+
+
+def test_whole_texts_come_in_small_batches(spark):
+    """Ten thousand long texts in one batch would be held several times by either side of a Python function."""
+    texts = configure(spark).range(0, 60, 1, 1).select(F.repeat(F.lit("words "), 100_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    got = texts.mapInArrow(sizes, "rows long, bytes long").agg(F.sum("rows"), F.max("bytes")).first()
+    assert got[0] == 60 and got[1] < 6 << 20

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 LETTERS = re.compile(r"[^\W\d_]+")
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 250_000  # their words as Python strings take about 20 times as many bytes
 
 
 def letter_words(text: str) -> list[str]:
@@ -71,7 +71,9 @@ class WordTable:
         if new:
             first = len(known) + 1  # row 0 stays zero, for padding
             while first + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                more = np.zeros((2 * len(self.rows), self.width), np.float32)  # takes memory as it is filled
+                more[: len(self.rows)] = self.rows
+                self.rows = more
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
                 self.rows[first + at : first + at + len(part)] = self.compute(part)
