@@ -22,6 +22,8 @@ from wattloom.llm.wordtext import WordTable, chunks, hashed_pieces, letter_words
 
 BUCKETS = 1 << 16
 SWITCH = 6.0  # log-likelihood a change of language must gain
+SHORT = 50  # words of a piece that may just as well advance word by word
+SLACK = 1e-3  # log-likelihood; closer words are left to the search word by word, which knows how ties go
 WEIGHT = 3.0  # of a word's mean n-gram log-likelihood
 FIT_DOCUMENTS = 300  # most rows of each language that the model is fitted on
 FIT_CHARS = 20_000  # longer texts are used where a language has too few shorter ones
@@ -96,20 +98,14 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     )
 
 
-def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
-    """Best language of each word of concatenated texts; all texts of the batch advance word by word together.
-
-    Staying costs nothing and any switch ``penalty``; of equally good paths the one that stays, then the first
-    language.
-    """
+def _advance(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
+    """Best path of each of the concatenated texts, none empty; all of them advance word by word together."""
     k = scores.shape[1]
     order = np.argsort(-sizes, kind="stable")
-    offset = np.r_[0, np.cumsum(sizes)][:-1][order]
+    offset = (np.cumsum(sizes) - sizes)[order]
     length = sizes[order]
-    longest = int(length[0]) if len(length) else 0
+    longest = int(length[0])
     path = np.zeros(len(scores), np.int16)
-    if k < 2 or not longest:
-        return path
     alive = np.searchsorted(-length, -np.arange(1, longest + 1), side="right")  # texts of at least t + 1 words
     best = np.zeros((len(sizes), k), np.float32)
     came: list[np.ndarray] = []
@@ -130,6 +126,90 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> n
     return path
 
 
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of runs, one run after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _clipped_sums(gain: np.ndarray, at: np.ndarray, start: np.ndarray, bound: float) -> np.ndarray:
+    """Sums along ``gain``, the sum so far cut to ``bound`` on either side before each step; at ``at`` it is ``start``.
+
+    A step takes x to clip(x + add, low, high) and so do several; every word's steps are doubled until they have one
+    outcome.  ``at`` begins with 0.
+    """
+    add, low, high = gain.copy(), gain - bound, gain + bound
+    low[at] = high[at] = gain[at] + start
+    todo, reach = np.flatnonzero(low != high), 1
+    while len(todo):
+        before, more, least, most = todo - reach, add[todo], low[todo], high[todo]
+        lower, upper = np.clip(low[before] + more, least, most), np.clip(high[before] + more, least, most)
+        add[todo] = add[before] + more
+        low[todo], high[todo] = lower, upper
+        todo, reach = todo[lower != upper], 2 * reach
+    return low
+
+
+def _is_main(scores: np.ndarray, main: np.ndarray, sizes: np.ndarray, edges: np.ndarray, penalty: float) -> np.ndarray:
+    """Which words are in their piece's ``main`` language on every best path.
+
+    They are if they are so in the easier choice between that language and the best other one for each word, with free
+    switches among the others.  ``edges`` is what the main language is ahead by, before and after each piece.
+    """
+    rows = np.arange(len(scores))
+    others = scores.copy()
+    others[rows, main] = -np.inf
+    gain = scores[rows, main].astype(np.float64) - others.max(axis=1)
+    end = np.cumsum(sizes)
+    left = _clipped_sums(gain, end - sizes, edges[:, 0], penalty)
+    right = _clipped_sums(gain[::-1], (len(gain) - end)[::-1], edges[::-1, 1], penalty)[::-1]
+    return left + right - gain > SLACK
+
+
+def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
+    """Best language of each word of concatenated texts.
+
+    Staying costs nothing and any switch ``penalty``; of equally good paths the one that stays, then the first
+    language.  Words that every best path has in the language with the highest sum are settled first, then the same
+    for each piece left between them, while that settles a twentieth of the words; the rest advances word by word, all
+    pieces of the batch together, between neighbours that are settled.
+    """
+    path = np.zeros(len(scores), np.int16)
+    if scores.shape[1] < 2 or not len(scores):
+        return path
+    size = sizes[sizes > 0]
+    begin = np.cumsum(size) - size
+    first, last = np.zeros(len(scores), bool), np.zeros(len(scores), bool)  # of a text
+    first[begin] = last[begin + size - 1] = True
+    while len(size) and size.max() > SHORT:
+        at = _runs(begin, size)
+        piece = scores[at]
+        main = np.add.reduceat(piece, np.cumsum(size) - size, axis=0, dtype=np.float64).argmax(axis=1)
+        outer = path.take(np.c_[begin - 1, begin + size], mode="clip")  # settled before, if not in another text
+        edges = np.where(outer == main[:, None], penalty, -penalty)
+        edges[np.c_[first[begin], last[begin + size - 1]]] = 0
+        path[at] = np.repeat(main, size)
+        is_open = np.zeros(len(scores) + 2, bool)
+        is_open[at + 1] = ~_is_main(piece, path[at], size, edges, penalty)
+        here = is_open[1:-1]
+        begin = np.flatnonzero(here & (first | ~is_open[:-2]))
+        size = np.flatnonzero(here & (last | ~is_open[2:])) - begin + 1
+        if size.sum() > 0.95 * len(at):
+            break
+    if not len(size):
+        return path
+    left, right = ~first[begin], ~last[begin + size - 1]
+    wide = size + left + right
+    at = _runs(begin - left, wide)
+    part, end = scores[at], np.cumsum(wide)
+    settled = np.r_[(end - wide)[left], (end - 1)[right]]
+    part[settled] = -np.inf
+    part[settled, path[at[settled]]] = 0
+    inner = np.ones(len(at), bool)
+    inner[settled] = False
+    path[at[inner]] = _advance(part, wide, penalty)[inner]
+    return path
+
+
 def label_texts(model: Model, table: WordTable, texts: list[str]):
     """Per text: language, score, and spans (first word, words, language)."""
     split = [letter_words(t) for t in texts]
