@@ -1,44 +1,56 @@
-"""Time-to-live de-duplication of an unbounded stream, in event time, with one value of state per key."""
+"""Time-to-live de-duplication of an unbounded stream, in event time, with a time per key as state."""
 
 from __future__ import annotations
 
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Generator, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import TimestampType
 
 from wattloom.functions.quantities import timestamp_seconds
 from wattloom.operators.dedup import TTL_SECONDS
 
 KEEP_SECONDS = 86_400.0
-SECONDS, LATE = "__seconds", "__late"
+BUCKETS = 1 << 14  # values of state that the keys share
+SECONDS, KEY, BUCKET, LATE = "__seconds", "__key", "__bucket", "__late"
 METRICS = "repeats"  # name of the observed counts: kept, late
 
 
 class _Repeats(StatefulProcessor):
-    """When a key was last seen.  A row passes when that is more than ttl before it.
+    """When each key of a bucket was last seen.  A row passes when that is more than ttl before it.
 
     Rows are taken by arrival and, where that is equal, by time.  Of each ttl-wide cell of time only the first row
     can pass, so a busy key costs a row per cell and a number per sighting.  A row older than the key's last
     sighting is late: it is counted, moves nothing and never passes.
+
+    Every access to state waits for an answer of Spark's, which takes far longer than a row; so keys share one value
+    of state by buckets.  A key keeps its own time of expiry in it.
     """
 
     def __init__(self, ttl: float, keep: float, arrival: Sequence[str], tie_break: Sequence[str], columns: Sequence[str]):
-        self.ttl, self.keep, self.arrival, self.tie_break, self.columns = ttl, keep, arrival, tie_break, columns
+        self.ttl, self.arrival, self.tie_break, self.columns = ttl, arrival, tie_break, columns
+        self.keep = int(1000 * max(keep, ttl))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.named = Row(*self.columns, LATE)
-        self.last = handle.getValueState("last", "seen double", int(1000 * max(self.keep, self.ttl)))
+        self.last = handle.getValueState("last", "key array<string>, seen array<double>, written array<long>", self.keep)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         came: dict = {}
-        for row in rows:
-            t = row[SECONDS]
-            cells = came.setdefault(tuple(row[c] for c in self.arrival), {})
-            rank = (t, *[(row[c] is not None, row[c]) for c in self.tie_break])
+        at: dict = {}
+        for named in rows:
+            if not at:  # names are slow to look up in a row, so they are looked up once
+                at = {name: i for i, name in enumerate(named.__fields__)}
+                seconds, text = at[SECONDS], at[KEY]
+                arrival, tie_break = [at[c] for c in self.arrival], [at[c] for c in self.tie_break]
+            row = tuple(named)
+            t = row[seconds]
+            cells = came.setdefault(row[text], {}).setdefault(tuple([row[i] for i in arrival]), {})
+            rank = (t, *[(row[i] is not None, row[i]) for i in tie_break])
             cell = cells.get(t // self.ttl)
             if cell is None:
                 cells[t // self.ttl] = [rank, row, array("d", (t,))]
@@ -46,26 +58,44 @@ class _Repeats(StatefulProcessor):
             cell[2].append(t)
             if rank < cell[0]:
                 cell[0], cell[1] = rank, row
-        known = self.last.get()
-        seen = start = None if known is None else known[0]
+        out = [at[c] for c in self.columns]
+        now, held = timerValues.getCurrentProcessingTimeInMs(), self.last.get()
+        known = {k: (seen, written) for k, seen, written in zip(*held) if written + self.keep > now} if held else {}
+        moved = False
+        for name, arrivals in came.items():
+            before = known.get(name, (None,))[0]
+            seen = yield from self._passing(arrivals, before, out)
+            if before is None or seen > before:
+                known[name], moved = (seen, now), True
+        if moved:
+            self.last.update((list(known), *map(list, zip(*known.values()))))
+
+    def _passing(self, came: dict, seen: float | None, out: Sequence[int]) -> Generator[Row, None, float]:
+        """Rows of one key that pass or count late ones, with the values at ``out``; gives back when it was last seen."""
         for _, cells in sorted(came.items()):
             start = seen
-            for _, (_, row, times) in sorted(cells.items()):
+            for _, ((first, *_), row, times) in sorted(cells.items()):
                 late = 0
                 if start is not None:
                     times = sorted(times)
                     late = bisect_left(times, start)
-                fresh = seen is None or (not late and row[SECONDS] - seen > self.ttl)
+                fresh = seen is None or (not late and first - seen > self.ttl)
                 if fresh or late:
-                    yield self.named(*[row[c] for c in self.columns], late)
+                    yield self.named(*[row[i] for i in out], late)
                 seen = max(times) if seen is None else max(seen, max(times))
-        if known is None or seen > known[0]:
-            self.last.update((seen,))
+        return seen
 
     def close(self) -> None:
         pass
 
 
+def _key_text(events: DataFrame, keys: Sequence[str]) -> Column:
+    """A text for each key: equal for equal keys, as grouping takes them, and no others."""
+    zero = {f.name: F.lit(0.0) for f in events.schema if f.dataType.typeName() in ("float", "double")}  # -0.0 + 0.0 is 0.0
+    fields = [(F.col(k) + zero[k] if k in zero else F.col(k)).alias(f"k{i}") for i, k in enumerate(keys)]
+    return F.to_json(F.struct(*fields), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+
+
 def mark_repeats_stream(
     events: DataFrame,
     keys: Sequence[str],
@@ -74,6 +104,7 @@ def mark_repeats_stream(
     ttl: float = TTL_SECONDS,
     keep: float = KEEP_SECONDS,
     arrival: Sequence[str] = (),
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Rows that pass, with ``__late`` 0, and the first of each cell of late rows, with their number.
 
@@ -81,12 +112,17 @@ def mark_repeats_stream(
     """
     columns = events.columns
     stream = events.withColumn(SECONDS, timestamp_seconds(F.col(ts))).filter(F.col(SECONDS).isNotNull())
-    return stream.groupBy(*keys).transformWithState(
+    stream = stream.withColumn(KEY, _key_text(events, keys)).withColumn(BUCKET, F.pmod(F.xxhash64(KEY), F.lit(buckets)))
+    plain = events.schema[ts].dataType == TimestampType()  # a number is handed to Python and back much faster
+    if plain:
+        stream = stream.withColumn(ts, F.unix_micros(ts))
+    marked = stream.groupBy(BUCKET).transformWithState(
         _Repeats(float(ttl), float(keep), tuple(arrival), tuple(tie_break), tuple(columns)),
-        outputStructType=events.schema.add(LATE, "long"),
+        outputStructType=stream.select(*columns).schema.add(LATE, "long"),
         outputMode="Append",
         timeMode="ProcessingTime",
     )
+    return marked.withColumn(ts, F.timestamp_micros(ts)) if plain else marked
 
 
 def drop_repeats_stream(
@@ -98,6 +134,7 @@ def drop_repeats_stream(
     keep: float = KEEP_SECONDS,
     exact: bool = True,
     arrival: Sequence[str] = (),
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Streaming counterpart of ``operators.dedup.drop_repeats``; ``ts`` is a timestamp.
 
@@ -107,8 +144,11 @@ def drop_repeats_stream(
     when rows arrived (a file's time, an offset), the same rows pass however they are cut into micro-batches;
     without, rows of a micro-batch arrive together.
 
-    State is one number per key and is read and written only for keys of the micro-batch.  A key is forgotten
-    ``keep`` seconds of wall-clock time after it was last written, so times far ahead or behind forget nothing.
+    State is a time per key.  Keys are dealt by a hash to ``buckets`` values of state, and only those that hold keys
+    of the micro-batch are read and written, so a micro-batch asks for at most ``buckets`` values however many keys it
+    has, and a single row for one value of live keys / ``buckets`` times.  The number stays the same as long as the
+    checkpoint is used.  A key is forgotten ``keep`` seconds of wall-clock time after it was last written, so times
+    far ahead or behind forget nothing.
     How many rows were kept and late is observed under the name ``repeats``; see :class:`StreamCounts`.
 
     ``exact=False`` uses Spark's own de-duplication, which may also drop later repeats.
@@ -117,7 +157,7 @@ def drop_repeats_stream(
         return events.withWatermark(ts, f"{max(1, round(ttl))} seconds").dropDuplicatesWithinWatermark(
             list(keys)
         )
-    marked = mark_repeats_stream(events, keys, ts, tie_break, ttl, keep, arrival)
+    marked = mark_repeats_stream(events, keys, ts, tie_break, ttl, keep, arrival, buckets)
     late = F.coalesce(F.sum(LATE), F.lit(0)).alias("late")
     counted = marked.observe(METRICS, F.count_if(F.col(LATE) == 0).alias("kept"), late)
     return counted.filter(F.col(LATE) == 0).drop(LATE)
