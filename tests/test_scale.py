@@ -16,7 +16,7 @@ from wattloom.operators.counters import counter_steps
 from wattloom.operators.grid import on_grid
 from wattloom.operators.labels import with_owner
 from wattloom.registry import QUERIES, specs
-from wattloom.session import configure, scratch_path, scratch_root, spread
+from wattloom.session import configure, scratch_path, scratch_root, shuffles_removed, spread, written
 from wattloom.sources import items
 
 
@@ -144,6 +144,70 @@ def test_queries_of_a_meeting_are_bounded():
     assert pieces["shard"].nunique() == 1 and tasks >= 800 / 100
 
 
+def shuffled_bytes(df):
+    """Of every exchange that ran for these rows."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif name == "Exchange":
+            total += node.metrics().get("dataSize").get().value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_what_a_search_sends_grows_with_the_rows(spark):
+    """Queries are not sent once per shard, nor entries once per part of the queries."""
+    r, sent = np.random.default_rng(11), []
+    for n in (500, 2000):
+        rows = [(i, x.tolist(), float(i)) for i, x in enumerate(r.normal(size=(n, 32)))]
+        df = spark.createDataFrame(rows, "id bigint, v array<double>, y double")
+        limits = knn.Limits(0, 32, 100, task_bytes=8 * 32 * 1000, meet_bytes=8 * 32 * 50)
+        searcher = knn.Searcher(knn.training_entries(df, "v", "id", "y"), limits=limits)
+        found = searcher.search(df, "v")
+        sent.append(shuffled_bytes(found))
+        got = {x["id"]: x["neighbours"]["ids"] for x in found.collect()}
+    assert sent[1] < 6 * sent[0]  # 4 times the rows, 16 times the pairs
+    plain = {x["id"]: x["neighbours"]["ids"] for x in knn.with_neighbours(df, searcher.entries, 5, "v").collect()}
+    assert got == plain
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_packed_rows_keep_labels_and_ids(spark, kind):
+    r = np.random.default_rng(12)
+    v = r.normal(size=(12, 6))[r.integers(0, 12, 700)] + r.normal(scale=0.3, size=(700, 6))
+    v[100:160] = v[100]  # one vector for many rows
+    df = spark.createDataFrame([(i, x.tolist(), float(i), i % 3) for i, x in enumerate(v)], "id bigint, v array<double>, y double, fold int")
+    df = df.withColumn("id", F.col("id").cast(kind)).withColumn("y", F.when(F.col("id") != "7", F.col("y")))
+    df = df.withColumn("fold", F.when(F.col("id") != "9", F.col("fold")))
+    entries = knn.training_entries(df, "v", "id", "y", 4, "fold")
+    small = knn.Limits(0, 20, 40, task_bytes=8 * 6 * 100, meet_bytes=8 * 6 * 30)
+    plain, packed = (knn.Searcher(entries, 4, limits).search(df, "v", "fold").collect() for limits in (knn.Limits(), small))
+    assert len(packed) == len(plain) == 700
+    want = {x["id"]: x["neighbours"] for x in plain}
+    for x in packed:
+        found = x["neighbours"]
+        assert (found["ids"], found["ys"]) == (want[x["id"]]["ids"], want[x["id"]]["ys"])
+        assert found["distances"] == pytest.approx(want[x["id"]]["distances"], abs=1e-6)
+
+
+def test_shuffles_go_when_a_table_is_written(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    rows = spark.range(1000).repartition(3, "id")
+    inside = []
+    with shuffles_removed(spark):
+        inside.append(spark.conf.get(key))
+    assert inside == ["true"] and spark.conf.get(key) == before
+    assert written(rows, "once").count() == written(rows, "twice").count() == rows.count() == 1000
+
+
 def test_whole_texts_come_in_small_batches(spark):
     """Ten thousand long texts in one batch would be held several times by either side of a Python function."""
     texts = configure(spark).range(0, 60, 1, 1).select(F.repeat(F.lit("words "), 100_000).alias("text"))
