@@ -15,6 +15,7 @@ from wattloom.operators.cells import CellIndex
 from wattloom.operators.counters import counter_steps
 from wattloom.operators.grid import on_grid
 from wattloom.operators.labels import with_owner
+from wattloom.operators.vector_blocks import matrix_of
 from wattloom.registry import QUERIES, specs
 from wattloom.session import configure, scratch_path, scratch_root, shuffles_removed, spread, written
 from wattloom.sources import items
@@ -197,6 +198,15 @@ def test_packed_rows_keep_labels_and_ids(spark, kind):
         assert found["distances"] == pytest.approx(want[x["id"]]["distances"], abs=1e-6)
 
 
+def test_vectors_of_different_length_are_no_matrix():
+    kind = pa.list_(pa.float32())
+    rows = pa.chunked_array([pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, 4.0]], kind), pa.array([[5.0, 6.0]], kind)])
+    assert matrix_of(rows.slice(1)).tolist() == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
+    for odd in ([[1.0], [2.0, 3.0, 4.0]], [[1.0, 2.0], None]):
+        with pytest.raises(ValueError):
+            matrix_of(pa.chunked_array([pa.array(odd, kind)]))
+
+
 def test_shuffles_go_when_a_table_is_written(spark):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key)
